@@ -1,22 +1,56 @@
-"""A training-corpus pipeline over documents, each stage written and reread as the next one's input."""
+"""A training-corpus pipeline over documents, each stage written and reread as the next one's input.
+
+Quality rules, near-duplicate removal, removal of repeated passages, mixing of the sources, tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import quality_rules
+from spanloom.llm import jaccard_join, quality_rules, sentencepiece_bpe, source_mixing, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of the documents that the quality rules accept."""
+    """The documents that the quality rules accept."""
     verdict = quality_rules.apply_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("doc_id").distinct()
     return docs.join(verdict, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of similar texts connect, the document of the smallest id. Of repeated rows one stays."""
+    kept = jaccard_join.forest_join(docs).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 400 bytes and more that stand elsewhere too; those left without a word go."""
+    out = suffix_dedup.without_repeats(docs).where(F.length(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     "))) > 0)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, shuffled within the shards."""
+    return source_mixing.mixed_rows(docs, source_mixing.mix_sources(docs)).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row, the end id last."""
+    from public_tokenizers import path
+
+    return sentencepiece_bpe.encode_documents(docs, path("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
+#: Trees, min-hashes and token merges have no form in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

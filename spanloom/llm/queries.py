@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jaccard_join, language_id, quality_classifier, quality_rules, sentencepiece_bpe, source_mixing, substring_dedup, suffix_dedup
+from spanloom.llm import jaccard_join, language_id, permutation_index, quality_classifier, quality_rules, sentencepiece_bpe, source_mixing, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,63 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_language(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on a day that page_id fixes; the list's events follow from a hash of each host.
+
+    A third of the hosts is listed at some time, some are delisted and listed again; one domain is
+    listed for 40 days; every 97th page's URL is listed by itself.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(start, (F.col("page_id") * 7 % 730).cast("int")).alias("fetched"))
+    hosts = captures.select(url_filters.host_of(F.col("url")).alias("host")).where("host != ''").distinct()
+    x = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")
+    hosts = hosts.select("host", x.alias("x")).where("x % 3 = 0")
+    event = lambda kind, value, action, day: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(action).alias("action"), day.alias("since"))
+    own = F.array(
+        event("host", F.col("host"), "add", F.date_add(start, (F.col("x") % 500).cast("int"))),
+        F.when(F.col("x") % 2 == 0, event("host", F.col("host"), "remove", F.date_add(start, (F.col("x") % 500 + 60).cast("int")))),
+        F.when(F.col("x") % 4 == 0, event("host", F.col("host"), "add", F.date_add(start, (F.col("x") % 500 + 150).cast("int")))),
+    )
+    events = hosts.select(F.explode(F.filter(own, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    single = captures.where("page_id % 97 = 0 and url is not null").select(F.lit("url").alias("kind"), F.col("url").alias("value"), F.lit("add").alias("action"), F.lit("2024-06-01").cast("date").alias("since"))
+    domain = spark.createDataFrame([("domain", "example.org", "add", "2024-03-01"), ("domain", "example.org", "remove", "2024-04-10")], "kind string, value string, action string, since string")
+    events = events.unionByName(single).unionByName(domain.withColumn("since", F.to_date("since")))
+    return url_filters.filter_captures(captures, events)
+
+
+OP5_SQL = """
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7 % 730 AS INTEGER) AS DATE) AS fetched,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)', 1)) AS host
+  FROM pages
+), hosts AS (
+  SELECT host, x FROM (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS x FROM (SELECT DISTINCT host FROM captures WHERE host != '')) WHERE x % 3 = 0
+), events AS (
+  SELECT 'host' AS kind, host AS value, 'add' AS action, DATE '2024-01-01' + x % 500 AS since FROM hosts
+  UNION SELECT 'host', host, 'remove', DATE '2024-01-01' + (x % 500 + 60) FROM hosts WHERE x % 2 = 0
+  UNION SELECT 'host', host, 'add', DATE '2024-01-01' + (x % 500 + 150) FROM hosts WHERE x % 4 = 0
+  UNION SELECT 'url', url, 'add', DATE '2024-06-01' FROM captures WHERE page_id % 97 = 0 AND url IS NOT NULL
+  UNION SELECT 'domain', 'example.org', 'add', DATE '2024-03-01'
+  UNION SELECT 'domain', 'example.org', 'remove', DATE '2024-04-10'
+), spans AS (
+  SELECT kind, value, since, until FROM (
+    SELECT kind, value, action, since, coalesce(lead(since) OVER (PARTITION BY kind, value ORDER BY since, action), DATE '9999-12-31') AS until FROM events
+  ) WHERE action = 'add' AND since < until
+), hits AS (
+  SELECT c.page_id, s.kind, s.value, s.since,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY CASE s.kind WHEN 'url' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, length(s.value) DESC, s.since DESC) AS n
+  FROM captures c JOIN spans s
+    ON c.fetched >= s.since AND c.fetched < s.until
+   AND ((s.kind = 'url' AND s.value = c.url) OR (s.kind = 'host' AND s.value = c.host)
+        OR (s.kind = 'domain' AND (s.value = c.host OR ends_with(c.host, '.' || s.value))))
+)
+SELECT c.page_id, c.url, c.fetched, c.host, h.page_id IS NOT NULL AS blocked,
+       h.kind AS blocked_kind, h.value AS blocked_value, CAST(h.since AS DATE) AS blocked_since
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.n = 1
+"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -53,12 +114,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_permutation_index": op2_permutation_index,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
+    "op5_url_filters": op5_url_filters,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_url_filters": OP5_SQL}

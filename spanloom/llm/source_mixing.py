@@ -20,7 +20,9 @@ from spanloom.llm import textscan
 from spanloom.llm.runtime import checkpointed, text_chunks, texts_of
 
 #: Words of a block, and the most blocks of a source; larger sources have larger blocks.
-BLOCK_WORDS, MAX_BLOCKS = 1 << 16, 1024
+BLOCK_WORDS, MAX_BLOCKS = 1 << 16, 4096
+#: Words of an output shard; at least so many shards.
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 24, 16, 4096
 MIX_SCHEMA = "doc_id long, source string, size long, source_size long, target double, taken long, shards array<int>"
 
 
@@ -93,7 +95,7 @@ def plan_blocks(blocks: dict[int, np.ndarray], target: list[float], shards: int,
     return rows, {s: left for s, (_, left) in edge.items()}
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): its words, its source's words and target, the
     words taken and the output shard of each copy taken.
 
@@ -110,6 +112,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     if not found:
         return spark.createDataFrame([], MIX_SCHEMA)
     target = targets([r["size"] for r in found], weights, cap)
+    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, sum(r["size"] for r in found) // SHARD_WORDS))
     n_blocks = [max(1, min(MAX_BLOCKS, -(-r["size"] // BLOCK_WORDS))) for r in found]
     named = spark.createDataFrame([(i, r.source, r["size"], t, b) for i, (r, t, b) in enumerate(zip(found, target, n_blocks, strict=True))], "s int, name string, source_size long, target double, n_blocks int")
     placed = sizes.join(named, F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).cast("int")).drop("name", "n_blocks")
@@ -136,10 +139,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     return whole.select(*columns).unionByName(part.groupBy("s").applyInPandas(fit, MIX_SCHEMA))
 
 
-def mixed_rows(docs: DataFrame, mix: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, once for each copy taken, shuffled within their shard (column ``shard``).
+def mixed_rows(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, once for each copy taken, with their ``shard``; a shard's rows stand together, shuffled.
 
     ``mix`` is the result of ``mix_sources`` for these rows; doc_id must name a row.
     """
     taken = mix.select("doc_id", F.explode("shards").alias("shard"))
-    return docs.join(taken, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "shard", F.lit(seed)), "doc_id")
+    return docs.join(taken, "doc_id").repartition("shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "shard", F.lit(seed)), "doc_id")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import textscan
 from spanloom.llm.anchors import Segments, rolling, segments
 from spanloom.llm.runtime import checkpointed, text_chunks
-from spanloom.llm.suffix_dedup import content_key, cover, keyed
+from spanloom.llm.suffix_dedup import content_key, cover, keyed, same_row
 
 SEGMENT = "doc_id long, tk int, a int, n int, o int, h long, l long, r long, c long"
 
@@ -83,12 +83,11 @@ def extended(texts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Texts with repeats (doc_id, tk, text) and their spans of window starts (doc_id, tk, spans)."""
     first, second = levels(length)
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tk") == F.col("y.tk"))
     # level one
     table = anchor_table(docs, length)
     twice = checkpointed(table.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").drop("m"))
     firsts = table.join(twice, "h", "left_semi").groupBy("doc_id", "tk").agg(F.collect_set("a").alias("firsts"))
-    texts = checkpointed(docs.alias("x").join(firsts.alias("y"), same).select("x.doc_id", "x.tk", "x.text", "y.firsts"))
+    texts = checkpointed(docs.alias("x").join(firsts.alias("y"), same_row()).select("x.doc_id", "x.tk", "x.text", "y.firsts"))
     # level two, on the distinct segments
     table = checkpointed(extended(texts, length))
     classes = table.groupBy("h", "c").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "tk", "a", "n", "o", "l", "r")).alias("at"))
@@ -102,7 +101,7 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     mixed = mixed.join(left, ["h", "l"], "left").join(right, ["h", "r"], "left").where("l_ok or r_ok")
     # the full length, from the texts of one representative each
     lists = mixed.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "c", "cnt", "a", "n", "o", F.coalesce("l_ok", F.lit(False)).alias("l_ok"), F.coalesce("r_ok", F.lit(False)).alias("r_ok"))).alias("cut"))
-    held = texts.alias("x").join(lists.alias("y"), same).select("x.text", "y.cut")
+    held = texts.alias("x").join(lists.alias("y"), same_row()).select("x.text", "y.cut")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, at in text_chunks(batches):
@@ -152,9 +151,8 @@ def remove_repeated_words(docs: DataFrame, length: int = 35) -> DataFrame:
             parts = [flat[at[i] : at[i + 1]].tobytes().split() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array([len(p) for p in parts], pa.int64()), pa.array([hashlib.sha256(b" ".join(p)).hexdigest() for p in parts])], names=["doc_id", "tk", "n_words", "whole"])
 
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tk") == F.col("y.tk"))
-    gone = texts.alias("x").join(spans.alias("y"), same).select("x.doc_id", "x.tk", "x.text", "y.spans").mapInArrow(strip, "doc_id long, tk int, n_removed long, kept string, sha string")
+    gone = texts.alias("x").join(spans.alias("y"), same_row()).select("x.doc_id", "x.tk", "x.text", "y.spans").mapInArrow(strip, "doc_id long, tk int, n_removed long, kept string, sha string")
     gone = gone.groupBy("doc_id", "tk").agg(*[F.first(c).alias(c) for c in ("n_removed", "kept", "sha")])
     base = docs.mapInArrow(measure, "doc_id long, tk int, n_words long, whole string")
-    out = base.alias("x").join(gone.alias("y"), same, "left")
+    out = base.alias("x").join(gone.alias("y"), same_row(), "left")
     return out.select("x.doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept", F.coalesce("sha", "whole").alias("kept_sha256"))

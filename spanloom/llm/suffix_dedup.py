@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.anchors import segments
@@ -32,6 +32,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.hash("text"))
 
 
+def same_row() -> Column:
+    """That rows aliased x and y are of one document and text."""
+    return F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tk") == F.col("y.tk"))
+
+
 def content_key(data: bytes) -> int:
     """A signed 64-bit hash."""
     return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
@@ -165,9 +170,8 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     heads = classes.groupBy("h").agg(F.count("*").alias("texts"), F.sum(F.col("n") + length).alias("bytes"))
     mixed = classes.join(heads.where("texts > 1"), "h")
     lists = mixed.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "c", "cnt", "a", "n", "o", (F.col("bytes") > MOST_BYTES).alias("hot"))).alias("cut"))
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tk") == F.col("y.tk"))
-    wanted = table.select("doc_id", "tk").distinct().alias("x").join(lists.alias("y"), same, "left").select("x.doc_id", "x.tk", "y.cut")
-    texts = docs.alias("x").join(wanted.alias("y"), same).select("x.doc_id", "x.tk", "x.text", "y.cut")
+    wanted = table.select("doc_id", "tk").distinct().alias("x").join(lists.alias("y"), same_row(), "left").select("x.doc_id", "x.tk", "y.cut")
+    texts = docs.alias("x").join(wanted.alias("y"), same_row()).select("x.doc_id", "x.tk", "x.text", "y.cut")
     texts = checkpointed(texts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +203,8 @@ def cover(spans: list[dict], length: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, whole_characters: bool = False) -> DataFrame:
-    """Every row of ``docs`` without the bytes that strings of ``length`` bytes cover which also start elsewhere.
-
-    Returns doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing was removed) and
-    kept_sha256. Strings never cross texts and are judged on the input; overlaps and repeats within one
-    text count, so repeated rows lose all of ``length`` bytes and more. Null text counts as empty. With
-    ``whole_characters``, a character is removed only if all its bytes are.
-    """
-    docs = keyed(docs)
+def stripped(docs: DataFrame, length: int, whole_characters: bool) -> DataFrame:
+    """doc_id, tk, n_removed, n_spans, kept and sha of the ``keyed`` texts that lose something."""
     texts, spans = repeated_spans(docs, length)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +222,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, whole_characters: bool =
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]], names=["doc_id", "tk", "n_removed", "n_spans", "kept", "sha"])
 
-    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tk") == F.col("y.tk"))
-    gone = texts.alias("x").join(spans.alias("y"), same).select("x.doc_id", "x.tk", "x.text", "y.spans").mapInArrow(strip, "doc_id long, tk int, n_removed long, n_spans long, kept binary, sha string")
-    gone = gone.groupBy("doc_id", "tk").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept", "sha")])
+    gone = texts.alias("x").join(spans.alias("y"), same_row()).select("x.doc_id", "x.tk", "x.text", "y.spans").mapInArrow(strip, "doc_id long, tk int, n_removed long, n_spans long, kept binary, sha string")
+    return gone.groupBy("doc_id", "tk").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept", "sha")])
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """Every row of ``docs`` without the bytes that strings of ``length`` bytes cover which also start elsewhere.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing was removed) and
+    kept_sha256. Strings never cross texts and are judged on the input; overlaps and repeats within one
+    text count, so repeated rows lose all of ``length`` bytes and more. Null text counts as empty.
+    """
+    docs = keyed(docs)
+    gone = stripped(docs, length, whole_characters=False)
     base = docs.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    out = base.alias("x").join(gone.alias("y"), same, "left")
-    return out.select("x.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), "kept", F.coalesce("sha", "whole").alias("kept_sha256"), "x.tk")
+    out = base.alias("x").join(gone.alias("y"), same_row(), "left")
+    return out.select("x.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), "kept", F.coalesce("sha", "whole").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with repeats removed from ``text`` as ``remove_repeats`` does, but a character only if all its bytes go.
+
+    Texts that lose nothing stay as they are, null included; other columns are kept.
+    """
+    rows = docs.withColumn("tk", F.hash(F.coalesce("text", F.lit(""))))
+    gone = stripped(keyed(docs), length, whole_characters=True)
+    out = rows.alias("x").join(gone.alias("y"), same_row(), "left")
+    return out.select(*[F.coalesce(F.col("y.kept").cast("string"), F.col("x.text")).alias("text") if c == "text" else F.col(f"x.`{c}`") for c in docs.columns])
