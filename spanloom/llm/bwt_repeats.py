@@ -10,31 +10,43 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Blocks shorter than this sort keys that carry their place in the low bits, which is much faster.
+PACKED = 1 << 21
+
+
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their keys, ties by place, and the keys' ranks from 1 in that order."""
+    n = len(key)
+    if n < PACKED and bits <= 43:
+        packed = np.sort((key << np.uint64(21)) | np.arange(n, dtype=np.uint64))
+        order, key = (packed & np.uint64(PACKED - 1)).astype(np.int64), packed >> np.uint64(21)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    fresh = np.ones(n, np.int64)
+    fresh[1:] = key[1:] != key[:-1]
+    return order, np.cumsum(fresh)
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` symbols (0 beyond the end), ties by place; by prefix doubling."""
     n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(8, np.uint8)])
+    done = min(5, depth)
+    padded = np.concatenate([symbols, np.zeros(done, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for t in range(min(8, depth)):
-        key |= padded[t : t + n].astype(np.uint64) << np.uint64(56 - 8 * t)
-    done = min(8, depth)
-    while True:
-        order = np.argsort(key, kind="stable") if done >= depth else np.argsort(key)
-        ordered = key[order]
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = ordered[1:] != ordered[:-1]
-        level = np.cumsum(fresh)
-        if done >= depth:
-            return order
-        if level[-1] == n:
-            return order
-        rank = np.empty(n, np.int64)
+    for t in range(done):
+        key = (key << np.uint64(8)) | padded[t : t + n]
+    order, level = _ordered(key, 40)
+    while done < depth and level[-1] < n:
+        rank = np.empty(n, np.uint64)
         rank[order] = level
         step = min(done, depth - done)
-        second = np.zeros(n, np.int64)
+        second = np.zeros(n, np.uint64)
         second[: n - step] = rank[step:]
-        key = (rank * (n + 1) + second).astype(np.uint64)
+        bits = int(level[-1]).bit_length()
+        order, level = _ordered((rank << np.uint64(bits)) | second, 2 * bits)
         done += step
+    return order
 
 
 def repeated_starts(symbols: np.ndarray, depth: int) -> np.ndarray:

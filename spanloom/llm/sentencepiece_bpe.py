@@ -8,6 +8,7 @@ merges in order of score, as these give the only sequence whose neighbours are a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,7 +21,7 @@ from spanloom.llm.runtime import text_chunks, texts_of
 
 SPACE = "\u2581"
 #: Chunks of text whose result a Python worker remembers at most, and the longest of them.
-MEMO_SIZE, MEMO_LENGTH = 300_000, 64
+MEMO_SIZE, MEMO_LENGTH = 400_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 TOKEN_SCHEMA = "doc_id long, ids array<int>, decoded string"
 _CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -57,6 +58,12 @@ class PieceModel:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: The longest piece, or single character, that a piece begins with.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in self.scores), None) for p in self.scores if len(p) > 1}
+        surfaces = [self.surface([i]).encode() if kind != BYTE else bytes([self.byte_of[i]]) for i, kind in enumerate(self.kinds)]
+        self.surface_bytes = np.frombuffer(b"".join(surfaces), np.uint8)
+        self.surface_sizes = np.array([len(x) for x in surfaces], np.int64)
+        self.surface_places = np.cumsum(self.surface_sizes) - self.surface_sizes
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the merges themselves: highest score first, then leftmost."""
@@ -84,38 +91,36 @@ class PieceModel:
     def split(self, text: str) -> list[str]:
         """Pieces and unknown characters of a text that is normalised already."""
         n = len(text)
-        if text in self.scores and len(self.merged(text)) == 1:
-            return [text]
-        at: list[list[int]] = [[] for _ in range(n)]
-        for last, size in self.automaton.iter(text):
-            at[last + 1 - size].append(last + 1)
+        longest = [0] * n
+        for last, size in self.automaton.iter(text):  # by rising end, so the longest comes last
+            longest[last + 1 - size] = last + 1
+        shorter, pairs, compatible = self.shorter, self.pairs, self.compatible
         failed = bytearray(n // 8 + 1)
-        ends, tries = [0], [len(at[0]) or 1]
         out: list[str] = []
-        while ends[-1] < n:
-            place = ends[-1]
-            options = at[place] or [place + 1]
-            k = tries[-1]
-            while k:
-                k -= 1
-                stop = options[k]
-                if failed[stop >> 3] >> (stop & 7) & 1:
-                    continue
-                piece = text[place:stop]
-                if (not out or self.compatible(out[-1], piece)):
-                    tries[-1] = k
-                    out.append(piece)
-                    ends.append(stop)
-                    tries.append(len(at[stop]) or 1 if stop < n else 0)
-                    break
-            else:
+        place, before = 0, ""
+        piece: str | None = text[: longest[0] or 1]
+        while True:
+            while piece is not None:
+                stop = place + len(piece)
+                if not failed[stop >> 3] >> (stop & 7) & 1:
+                    fits = not before or pairs.get((before, piece))
+                    if fits or fits is None and compatible(before, piece):
+                        break
+                piece = shorter.get(piece)
+            if piece is None:
                 failed[place >> 3] |= 1 << (place & 7)
                 if not out:
                     raise ValueError("the model's merges don't reach this text")
-                out.pop()
-                ends.pop()
-                tries.pop()
-        return out
+                last = out.pop()
+                before = out[-1] if out else ""
+                place -= len(last)
+                piece = shorter.get(last)
+                continue
+            out.append(piece)
+            if stop == n:
+                return out
+            place, before = stop, piece
+            piece = text[place : longest[place] or place + 1]
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a chunk that is normalised already; unknown characters as bytes."""
@@ -177,19 +182,21 @@ def utf8(run: bytes) -> str:
 
 
 class Memo(dict):
-    """Chunk to its ids (packed int32) and text; forgets all when full."""
+    """Chunk to its ids (packed int32). When full, it becomes the older generation, from which chunks come back."""
 
     def __init__(self, model: PieceModel):
-        self.model = model
+        self.model, self.older = model, {}
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        ids = self.model.chunk_ids(chunk)
-        made = np.array(ids, np.int32).tobytes(), self.model.surface(ids)
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.older.get(chunk)
+        if packed is None:
+            packed = array("i", self.model.chunk_ids(chunk)).tobytes()
         if len(chunk) <= MEMO_LENGTH:
             if len(self) >= MEMO_SIZE:
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = made
-        return made
+            self[chunk] = packed
+        return packed
 
 
 _memos: dict[str, Memo] = {}
@@ -202,6 +209,23 @@ def memo(path: str) -> Memo:
     return _memos[path]
 
 
+def decode_batch(model: PieceModel, ids: np.ndarray, at: np.ndarray) -> list[str]:
+    """Texts of id sequences that stand end to end, by gathering the pieces' bytes."""
+    size = model.surface_sizes[ids]
+    first = np.concatenate([[0], np.cumsum(size)])
+    where = np.arange(first[-1]) + np.repeat(model.surface_places[ids] - first[:-1], size)
+    normal = np.array(model.kinds)[ids[np.minimum(at[:-1], max(len(ids) - 1, 0))]] == NORMAL if len(ids) else np.zeros(len(at) - 1, bool)
+    data, cut = model.surface_bytes[where].tobytes(), first[at].tolist()
+    out = []
+    for i in range(len(at) - 1):
+        try:
+            text = data[cut[i] : cut[i + 1]].decode()
+            out.append(text[1:] if normal[i] and model.prefix and text.startswith(" ") else text)
+        except UnicodeDecodeError:  # byte pieces that are no character
+            out.append(model.decode(ids[at[i] : at[i + 1]].tolist()))
+    return out
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """For each row of ``docs``: doc_id, ids (the end id last, no start id) and the text decoded from them.
 
@@ -213,16 +237,12 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = memo(model_path)
         model, get = known.model, known.__getitem__
-        end = np.array([model.end], np.int32).tobytes()
+        end = array("i", [model.end]).tobytes()
         for batch, _, _ in text_chunks(batches):
-            packed, texts = [], []
-            for text in batch.column("text").to_pylist():
-                got = list(map(get, model.chunks(text or "")))
-                packed.append(b"".join([g[0] for g in got]) + end)
-                whole = "".join([g[1] for g in got])
-                texts.append(whole[len(model.prefix) :] if got else "")
+            packed = [b"".join(list(map(get, model.chunks(text or "")))) + end for text in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            texts = decode_batch(model, ids, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return texts_of(docs).mapInArrow(scan, TOKEN_SCHEMA)

@@ -24,7 +24,7 @@ from spanloom.llm.runtime import checkpointed, partitions, text_chunks, texts_of
 from spanloom.llm.textscan import BYTE_KEYS
 
 #: Bytes of an anchor; text that one transform indexes at once; most distinct text of one anchor in a block.
-GRAM, BLOCK_BYTES, MOST_BYTES = 64, 1 << 20, 4 << 20
+GRAM, BLOCK_BYTES, MOST_BYTES = 64, 1 << 20, (1 << 21) - (1 << 16)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
