@@ -124,4 +124,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE: dict[str, str] = {"op5_url_filters": OP5_SQL}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP7_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+x AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i+34], ' ') END AS win FROM p),
+d AS (SELECT win FROM x WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+c AS (SELECT doc_id, i, word, max(CASE WHEN d.win IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN d ON d.win = x.win),
+k AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS sh FROM w WHERE len(ws) >= 5
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8::DOUBLE * (nx.n + ny.n - c) - 1e-9),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT w.doc_id, (SELECT min(y) FROM r WHERE r.x = w.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links,
+       least(w.doc_id, coalesce(k.rep, w.doc_id)) AS rep_id, coalesce(n.n, 0) AS n_shingles
+FROM w LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links, min(CASE WHEN same THEN y END) AS rep FROM l GROUP BY x) k USING (doc_id)
+"""
+ORACLE: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
