@@ -27,7 +27,7 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 class Fourier:
     """cos(w x + b) of standardised statistics, w and b fixed by the seed; a constant comes last."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, n: int = N_FEATURES, width: float = 2.5, seed: int = 5):
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, n: int = N_FEATURES, width: float = 4.0, seed: int = 5):
         r = np.random.default_rng(seed)
         self.mean, self.scale = mean, np.where(scale > 1e-9, scale, 1.0)
         self.w, self.b = r.normal(0, 1 / width, (len(mean), n)), r.uniform(0, 2 * np.pi, n)
@@ -95,7 +95,7 @@ class Classifier:
         return self.calibrated[self.cell(self.raw(x))]
 
 
-def fit_classifier(train: DataFrame, ridge: float = 1e-3) -> Classifier:
+def fit_classifier(train: DataFrame, ridge: float = 1e-4) -> Classifier:
     """Fitted on all rows of ``train`` (the counts and ``y``). With no rows every score is one half."""
     d, m = len(RATIOS), N_FEATURES + 1
 
@@ -127,9 +127,11 @@ def fit_classifier(train: DataFrame, ridge: float = 1e-3) -> Classifier:
     counts = summed(train, binned, 2 * GRID)
     weight, hits = counts[:GRID], counts[GRID:]
     full = np.flatnonzero(weight)
-    # one prior row at the overall rate smooths cells of few rows
-    rate = hits.sum() / n
-    steps = isotonic((hits[full] + rate) / (weight[full] + 1), weight[full])
+    steps = isotonic(hits[full] / weight[full], weight[full])
+    # one row at the overall rate for each pooled step, so that a step of few rows claims no certainty
+    pool = np.cumsum(np.concatenate([[0], np.diff(steps) != 0]))
+    inside = np.bincount(pool, weight[full])
+    steps = np.maximum.accumulate(((np.bincount(pool, hits[full]) + hits.sum() / n) / (inside + 1))[pool])
     model.calibrated = np.clip(np.interp(np.arange(GRID), full, steps), 0, 1)
     return model
 
