@@ -67,7 +67,7 @@ def iso_duration_ms(text: Column) -> Column:
 
 def nanos_iso(nanos: Column) -> Column:
     """ISO time of nanoseconds since the epoch."""
-    return F.date_format(F.timestamp_micros((nanos.cast("long") / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.date_format(F.timestamp_micros(F.call_function("div", nanos.cast("long"), F.lit(1000).cast("long"))), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def nanos_duration(start: Column, end: Column) -> Column:

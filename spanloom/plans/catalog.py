@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spanloom import lenses
 from spanloom.functions import numbers, text
-from spanloom.operators import alignment, graph, graph_algorithms, monitoring, ranking, selection, spans, validation
+from spanloom.operators import alignment, graph, graph_algorithms, monitoring, ranking, reports, selection, spans, validation
+from spanloom.sources import metrics, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -404,3 +405,73 @@ def q_better_of(spark, d):
     j = alignment.judged(lenses.alignment_pairs(spark, d))
     share = lambda c: j.groupBy("trace_id").agg(F.round(F.count_if(c).cast("double") / F.count("*").cast("double"), 4).alias("coverage"))
     return alignment.better_of(share("exact"), share("semantic").where("coverage > 0.4"))
+
+
+# --- sources and reports
+
+
+@query
+def q_source_otlp(spark, d):
+    """Events written as OTLP JSON, a file a user, and read back."""
+    e = lenses.table(spark, d, "events")
+    text_value = lambda c: F.struct(F.col(c).alias("stringValue"))
+    kv = F.array(F.struct(F.lit("tool.name").alias("key"), text_value("event_type").alias("value")), F.struct(F.lit("input.value").alias("key"), text_value("props").alias("value")))
+    nanos = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
+    span = F.struct(F.col("user_id").cast("string").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.col("event_type").alias("name"), F.lit(3).alias("kind"), nanos.alias("startTimeUnixNano"), nanos.alias("endTimeUnixNano"), F.struct(F.when(F.col("event_type") == "error", 2).otherwise(1).alias("code")).alias("status"), kv.alias("attributes"))
+    files = e.groupBy("user_id").agg(F.collect_list(span).alias("spans")).select(F.col("user_id").cast("string").alias("path"), F.to_json(F.struct(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
+    rows = traces.otlp_spans(files)
+    return rows.select("trace_id", "span_id", "span_name", "span_kind", "status_code", "timestamp", "duration", F.col("attributes")["input.value"].alias("input"))
+
+
+@query
+def q_source_dialogue(spark, d):
+    """Conversations written as dialogue histories and read back."""
+    turn = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("t"))
+    files = lenses.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["t"]).alias("history")).select(F.col("conv_id").cast("string").alias("path"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("question_ID"), "history")).alias("value"))
+    rows = traces.dialogue_spans(files)
+    return rows.select("trace_id", "span_id", "parent_span_id", "span_name", "timestamp", F.md5(F.coalesce(F.col("attributes")["output.value"], F.lit(""))).alias("output_md5"))
+
+
+@query
+def q_source_event_log(spark, d):
+    """Events written as event logs and read back as chains."""
+    e = lenses.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "tool.use").when(F.col("event_type") == "error", "chat.error").when(F.col("event_type") == "purchase", "chat.final").otherwise("other")
+    item = F.struct("event_id", F.struct(F.col("event_type").alias("label"), F.col("value").alias("at_ms"), F.struct(kind.alias("event_type"), F.col("props").alias("message")).alias("payload")).alias("e"))
+    files = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).alias("events")).select(F.col("user_id").cast("string").alias("path"), F.to_json(F.struct(F.struct(F.col("user_id").cast("string").alias("trace_id")).alias("meta"), "events")).alias("value"))
+    rows = traces.event_log_spans(files)
+    return rows.groupBy("trace_id").agg(F.count("*").alias("spans"), F.count_if(F.col("parent_span_id").isNull()).alias("roots"), F.count_if(F.col("status_code") == "Error").alias("errors"))
+
+
+@query
+def q_source_prometheus(spark, d):
+    """Parts written as Prometheus text and read back."""
+    line = F.concat(F.lit('retail_price{brand="'), "p_brand", F.lit('",key="'), F.col("p_partkey").cast("string"), F.lit('"} '), F.col("p_size").cast("string"))
+    files = lenses.table(spark, d, "part").groupBy("p_brand").agg(F.concat(F.lit("# HELP retail_price\n"), F.array_join(F.collect_list(line), "\n")).alias("value")).select(F.col("p_brand").alias("path"), "value")
+    return metrics.prometheus(files).select("name", F.col("labels")["brand"].alias("brand"), F.col("labels")["key"].cast("long").alias("part"), "value")
+
+
+@query
+def q_digest(spark, d):
+    return reports.digest(lenses.event_spans(spark, d), most=5)
+
+
+@query
+def q_judge_offline(spark, d):
+    return reports.highest_impact(reports.root_cause_rows(reports.judged(reports.digest(lenses.event_spans(spark, d)))))
+
+
+@query
+def q_mermaid(spark, d):
+    nodes = graph.nodes_of_spans(lenses.event_spans(spark, d)).where("ord <= 12")
+    return reports.mermaid(nodes, graph.temporal_edges(nodes))
+
+
+@query
+def q_graph_json(spark, d):
+    return reports.graph_json(*_graph(spark, d))
+
+
+@query
+def q_fault_report(spark, d):
+    return reports.markdown_report(spans.fault_findings(lenses.event_spans(spark, d)))

@@ -207,4 +207,26 @@ ORACLE: dict[str, str] = {
     "q_better_of": f"""WITH {PAIRS}, r AS (SELECT trace_id, round(count(*) FILTER (exact)::DOUBLE / count(*), 4) AS raw FROM ju GROUP BY 1), g AS (SELECT trace_id, round(count(*) FILTER (semantic)::DOUBLE / count(*), 4) AS graph FROM ju GROUP BY 1)
       SELECT trace_id, CASE WHEN raw IS NOT NULL AND graph IS NOT NULL AND raw >= graph THEN 'raw' ELSE 'graph' END AS source, CASE WHEN raw IS NOT NULL AND graph IS NOT NULL AND raw >= graph THEN raw ELSE coalesce(graph, raw) END AS coverage
       FROM r FULL JOIN (SELECT * FROM g WHERE graph > 0.4) g USING (trace_id)""",
+    "q_source_otlp": "SELECT CAST(user_id AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, event_type AS span_name, 'Client' AS span_kind, CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Ok' END AS status_code, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, 'PT0.000000S' AS duration, props AS input FROM events",
+    "q_source_dialogue": """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS trace_id, 'dlg' || lpad(CAST(i + 1 AS VARCHAR), 13, '0') AS span_id, 'dlg0000000000000' AS parent_span_id, upper(substr(role, 1, 1)) || substr(role, 2) AS span_name, i + 1 AS place, md5(text) AS output_md5
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+      UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), 'dlg0000000000000', NULL, 'dialogue', 0, md5('') FROM conversations)
+      SELECT trace_id, span_id, parent_span_id, span_name, strftime(TIMESTAMP '1970-01-01' + to_microseconds(place * 100000), '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, output_md5 FROM t""",
+    "q_source_event_log": "SELECT CAST(user_id AS VARCHAR) AS trace_id, count(*) AS spans, 1::BIGINT AS roots, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1",
+    "q_source_prometheus": "SELECT 'retail_price' AS name, p_brand AS brand, p_partkey AS part, p_size::DOUBLE AS value FROM part",
+    "q_digest": f"""WITH {ES}, t AS (SELECT trace_id, tool, count(*) AS n FROM es GROUP BY ALL), l AS (SELECT trace_id, string_agg(tool || '=' || n, ',' ORDER BY n DESC, tool) AS tools, count(*) FILTER (n >= 4) AS repeated_tools FROM t GROUP BY 1),
+      s AS (SELECT trace_id, span_id, pos FROM es WHERE status = 'Error' QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY pos) <= 5), g AS (SELECT trace_id, string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY pos) AS suspicious FROM s GROUP BY 1),
+      c AS (SELECT trace_id, count(*) AS spans, count(*) FILTER (status = 'Error') AS errors FROM es GROUP BY 1)
+      SELECT trace_id, spans, errors, tools, repeated_tools, coalesce(suspicious, '') AS suspicious FROM c LEFT JOIN l USING (trace_id) LEFT JOIN g USING (trace_id)""",
+    "q_judge_offline": f"WITH {ES}, c AS (SELECT CAST(trace_id AS VARCHAR) AS trace_id, count(*) AS n FROM es WHERE status = 'Error' GROUP BY 1) SELECT trace_id, CASE WHEN n > 3 THEN 'HIGH' ELSE 'MEDIUM' END AS impact FROM c",
+    "q_fault_report": f"""WITH {ES}, {REPEATED}, {BEFORE_FINAL}, {SHARED}, f AS (
+      SELECT trace_id, 'F3' AS fault_id, attempts AS n FROM rep UNION ALL SELECT trace_id, 'F10', errors FROM rep WHERE errors >= 2
+      UNION ALL SELECT trace_id, 'F11', count(*) FROM bf GROUP BY trace_id UNION ALL SELECT trace_id, 'F12', errors FROM sp
+      UNION ALL SELECT trace_id, 'F4', count(*) FROM es WHERE status = 'Error' GROUP BY trace_id),
+      c(fault_id, t) AS (VALUES ('F3', 'Action loop | 0.78'), ('F10', 'Failed retry | 0.84'), ('F11', 'Ignored error | 0.72'), ('F12', 'Cascading failure | 0.76'), ('F4', 'Execution crash | 0.98'))
+      SELECT trace_id, '# Trace ' || trace_id || chr(10) || chr(10) || '| fault | name | confidence | evidence |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || fault_id || ' | ' || t || ' | ' || n || ' |', chr(10) ORDER BY fault_id) || chr(10) AS report FROM f JOIN c USING (fault_id) GROUP BY trace_id""",
+    "q_mermaid": f"""WITH {ES}, {NODES}, n AS (SELECT * FROM gn WHERE ord <= 12), x AS (
+      SELECT trace_id, 0 AS part, ord AS a, 0 AS b, '  n' || node_id || '["' || type || ': ' || regexp_replace(CASE WHEN length(content) > 60 THEN left(content, 57) || '...' ELSE content END, '["\\[\\]\n|]', ' ', 'g') || '"]:::' || lower(type) AS line FROM n
+      UNION ALL SELECT trace_id, 1, source, target, '  n' || source || ' -->|Temporal| n' || target FROM (SELECT trace_id, node_id AS source, lead(node_id) OVER (PARTITION BY trace_id ORDER BY ord) AS target FROM n) WHERE target IS NOT NULL)
+      SELECT trace_id, 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY part, a, b) AS chart FROM x GROUP BY trace_id""",
 }
