@@ -209,10 +209,15 @@ STRATEGIES: dict[str, Callable[[Graph, Budget], None]] = {"k_shortest": k_shorte
 
 
 def per_trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row for each trace with its nodes and edges."""
+    """A row for each trace with its nodes and edges, dealt over all shuffle partitions, as what follows is Python work."""
     n = nodes.groupBy("trace_id").agg(F.collect_list(F.struct("node_id", "ord", "type", "content", "saliency")).alias("nodes"))
     e = edges.select("trace_id", F.struct("source", "target", numbers.edge_cost(F.col("edge_type"), F.col("score")).alias("cost")).alias("e")).groupBy("trace_id").agg(F.collect_list("e").alias("edges"))
-    return n.join(e, "trace_id", "left")
+    return spread(n.join(e, "trace_id", "left"))
+
+
+def spread(traces: DataFrame) -> DataFrame:
+    """Traces over as many partitions as the session shuffles to; the adaptive planner would merge small ones."""
+    return traces.repartition(int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trace_id")
 
 
 def prune(nodes: DataFrame, edges: DataFrame, strategy: str, most: int = 80, room: int = 14_000) -> DataFrame:

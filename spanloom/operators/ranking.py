@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import numbers
-from spanloom.operators.graph_algorithms import Graph
+from spanloom.operators.graph_algorithms import Graph, spread
 
 # Weights of the parts of a root-cause score.
 WEIGHTS = {"anomaly": 0.24, "semantic": 0.22, "dependency": 0.20, "strength": 0.16, "position": 0.09, "origin": 0.09}
@@ -77,7 +77,7 @@ def root_causes(nodes: DataFrame, typed: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in RANKED.split(", ")])
 
-    return n.join(e, "trace_id", "left").mapInArrow(work, RANKED)
+    return spread(n.join(e, "trace_id", "left")).mapInArrow(work, RANKED)
 
 
 def diverse_chains(ranked: DataFrame, most: int = 5, a_target: int = 4, overlap: float = 0.85) -> DataFrame:
