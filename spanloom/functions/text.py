@@ -118,3 +118,29 @@ def is_control_message(text: Column) -> Column:
     """Turns that only steer the dialogue."""
     t = F.lower(strip(F.coalesce(text, F.lit(""))))
     return t.isin("terminate", "done", "stop") | t.startswith("next speaker")
+
+
+def final_answer(text: Column) -> Column:
+    """What follows 'final answer:', up to an empty line; null if there is none."""
+    return F.nullif(strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)final answer\s*[:：]\s*([^\n]+)", 1)), F.lit(""))
+
+
+def dates(text: Column) -> Column:
+    """Dates in a text as yyyy-MM-dd, once each: 2024-01-31, 2024/1/31 and 2024年1月31日."""
+    t = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(t, F.lit(r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}"), 0)
+    parts = F.transform(found, lambda x: F.split(x, r"[-/年月]"))
+    return F.array_distinct(F.transform(parts, lambda p: F.concat_ws("-", p[0], F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0"))))
+
+
+def signatures(text: Column) -> Column:
+    """What marks a result: quantities with units and short lines that aren't headings, at most once each."""
+    t = F.coalesce(text, F.lit(""))
+    measures = F.regexp_extract_all(t, F.lit(r"\d+(?:\.\d+)?\s?(?:%|ms|km|kg|GB|MB|KB|USD|EUR)"), 0)
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: strip(x)), lambda x: F.length(x).between(2, 24) & ~x.rlike(r"[:：#]$|^#"))
+    return F.array_distinct(F.concat(measures, lines))
+
+
+def opaque_tokens(text: Column) -> Column:
+    """Values of id-like keys in a text, once each."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(?:id|key|token|uuid)\"?\s*[:=]\s*\"?([A-Za-z0-9_\-]{6,})"), 1))

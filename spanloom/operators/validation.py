@@ -110,3 +110,32 @@ def role_counts(turns: DataFrame) -> DataFrame:
     last = F.max_by("content", F.when(F.col("role") == "assistant", F.col("step")))
     count = lambda r: F.count_if(F.col("role") == r)
     return turns.groupBy("trace_id").agg(F.count("*").alias("messages"), count("user").alias("n_user"), count("assistant").alias("n_assistant"), count("system").alias("n_system"), F.sum(F.length("content")).alias("chars"), F.md5(F.coalesce(first, F.lit(""))).alias("input_md5"), F.md5(F.coalesce(last, F.lit(""))).alias("output_md5"))
+
+
+def date_mismatches(calls: DataFrame) -> DataFrame:
+    """Calls whose result speaks of other dates than the one that was asked for (trace_id, span_id, asked)."""
+    asked, told = text.dates(F.col("input")), text.dates(F.col("output"))
+    return calls.where((F.size(asked) > 0) & (F.size(told) > 0) & ~F.arrays_overlap(asked, told)).select("trace_id", "span_id", F.get(asked, F.lit(0)).alias("asked"))
+
+
+def argument_mismatches(calls: DataFrame, keys: tuple[str, ...] = ("date", "city", "name", "id", "url", "query")) -> DataFrame:
+    """Comparable fields that differ, but for case, between a call's JSON input and its JSON result."""
+    a, b = F.try_parse_json("input"), F.try_parse_json("output")
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.try_variant_get(a, f"$.{k}", "string").alias("expected"), F.try_variant_get(b, f"$.{k}", "string").alias("observed")) for k in keys])
+    rows = calls.select("trace_id", "span_id", F.explode(pairs).alias("p")).select("trace_id", "span_id", "p.*")
+    return rows.where("expected is not null and observed is not null and lower(expected) != lower(observed)")
+
+
+def ungrounded_arguments(calls: DataFrame, room: int = 30_000) -> DataFrame:
+    """Id-like argument values that neither the task (``task``) nor an earlier result of the trace holds."""
+    w = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.right(F.concat_ws("\n", F.collect_list("output").over(w)), F.lit(room))
+    rows = calls.withColumn("_seen", F.concat_ws("\n", "task", seen)).select("trace_id", "span_id", "_seen", F.explode(text.opaque_tokens(F.col("input"))).alias("token"))
+    return rows.where(F.instr(F.col("_seen"), F.col("token")) == 0).select("trace_id", "span_id", "token")
+
+
+def verdicts(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """valid, invalid or uncertain for each call: uncertain if all it is charged with are ungrounded arguments."""
+    marks = found.groupBy("trace_id", "span_id").agg(F.bool_or(F.col("violation_type") != "ungrounded_tool_argument").alias("hard"))
+    out = calls.select("trace_id", "span_id").join(marks, ["trace_id", "span_id"], "left")
+    return out.select("trace_id", "span_id", F.when(F.col("hard").isNull(), "valid").when(F.col("hard"), "invalid").otherwise("uncertain").alias("verdict"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom import lenses
 from spanloom.functions import numbers, text
-from spanloom.operators import alignment, graph, graph_algorithms, monitoring, ranking, reports, selection, spans, validation
+from spanloom.operators import agents, alignment, graph, graph_algorithms, monitoring, ranking, reports, selection, spans, validation
 from spanloom.sources import metrics, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,3 +475,50 @@ def q_graph_json(spark, d):
 @query
 def q_fault_report(spark, d):
     return reports.markdown_report(spans.fault_findings(lenses.event_spans(spark, d)))
+
+
+# --- agents and further checks
+
+
+def _scoped(spark, d):
+    return agents.scopes(lenses.event_spans(spark, d), F.col("tool") == "signup")
+
+
+@query
+def q_agent_scopes(spark, d):
+    return _scoped(spark, d).groupBy("trace_id", "agent_role").agg(F.count("*").alias("n"), F.max("agent_depth").alias("deepest"))
+
+
+@query
+def q_agent_rollup(spark, d):
+    return agents.rollup(_scoped(spark, d))
+
+
+@query
+def q_agent_spawn_edges(spark, d):
+    return agents.spawn_edges(_scoped(spark, d))
+
+
+@query
+def q_outcome_diagnosis(spark, d):
+    return agents.outcome_diagnosis(lenses.event_spans(spark, d))
+
+
+@query
+def q_verdicts(spark, d):
+    calls = lenses.event_spans(spark, d).withColumn("output", F.when(F.col("tool") == "click", "[]").otherwise("fine"))
+    return validation.verdicts(calls, validation.violations(calls)).groupBy("trace_id", "verdict").agg(F.count("*").alias("n"))
+
+
+@query
+def q_date_mismatch(spark, d):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    o = lenses.table(spark, d, "orders").join(lenses.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    calls = o.select(F.col("o_custkey").alias("trace_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("span_id"), day("o_orderdate").alias("input"), F.date_format("l_shipdate", "yyyy/M/d").alias("output"))
+    return validation.date_mismatches(calls).groupBy("trace_id").agg(F.count("*").alias("n"), F.min("asked").alias("first"))
+
+
+@query
+def q_resource_merge(spark, d):
+    rows = lenses.table(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("place"), F.create_map(F.col("event_type"), F.col("props")).alias("attributes"))
+    return agents.merged_resources(rows)

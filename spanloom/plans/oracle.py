@@ -229,4 +229,17 @@ ORACLE: dict[str, str] = {
       SELECT trace_id, 0 AS part, ord AS a, 0 AS b, '  n' || node_id || '["' || type || ': ' || regexp_replace(CASE WHEN length(content) > 60 THEN left(content, 57) || '...' ELSE content END, '["\\[\\]\n|]', ' ', 'g') || '"]:::' || lower(type) AS line FROM n
       UNION ALL SELECT trace_id, 1, source, target, '  n' || source || ' -->|Temporal| n' || target FROM (SELECT trace_id, node_id AS source, lead(node_id) OVER (PARTITION BY trace_id ORDER BY ord) AS target FROM n) WHERE target IS NOT NULL)
       SELECT trace_id, 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY part, a, b) AS chart FROM x GROUP BY trace_id""",
+    "q_agent_scopes": f"""WITH {ES}, r AS (SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS depth FROM es WHERE tool = 'signup'),
+      s AS (SELECT es.trace_id, r.depth FROM es LEFT JOIN r ON r.trace_id = es.trace_id AND r.span_id = CASE WHEN tool = 'signup' THEN es.span_id ELSE parent_id END)
+      SELECT trace_id, CASE WHEN depth = 0 THEN 'main' WHEN depth > 0 THEN 'subagent' END AS agent_role, count(*) AS n, CAST(max(depth) AS INTEGER) AS deepest FROM s GROUP BY ALL""",
+    "q_agent_rollup": f"""WITH {ES}, r AS (SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS depth FROM es WHERE tool = 'signup')
+      SELECT es.trace_id, r.span_id AS agent_id, CAST(max(r.depth) AS INTEGER) AS depth, count(*) AS n_spans, count(*) FILTER (status = 'Error') AS errors FROM es JOIN r ON r.trace_id = es.trace_id AND r.span_id = CASE WHEN tool = 'signup' THEN es.span_id ELSE parent_id END GROUP BY es.trace_id, r.span_id""",
+    "q_agent_spawn_edges": f"""WITH {ES}, a AS (SELECT trace_id, span_id, pos, CASE WHEN tool = 'signup' THEN span_id ELSE parent_id END AS agent_id FROM es), l AS (SELECT trace_id, agent_id, arg_max(span_id, pos) AS last FROM a GROUP BY ALL),
+      r AS (SELECT trace_id, span_id AS agent_id, parent_id FROM es WHERE tool = 'signup' AND parent_id IS NOT NULL)
+      SELECT trace_id, parent_id AS source, agent_id AS target, 'AgentSpawn' AS edge_type, 1.0::DOUBLE AS score FROM r
+      UNION ALL SELECT r.trace_id, l.last, r.parent_id, 'SubagentReturn', 0.96::DOUBLE FROM r JOIN l ON l.trace_id = r.trace_id AND l.agent_id = r.agent_id""",
+    "q_outcome_diagnosis": f"WITH {ES} SELECT trace_id, bool_or(is_final) AS answered, max(pos) - coalesce(max(pos) FILTER (is_final), 0) AS after_final, arg_max(status, pos) = 'Error' AS ends_in_error FROM es GROUP BY 1",
+    "q_verdicts": f"WITH {ES} SELECT trace_id, CASE WHEN status = 'Error' OR tool = 'click' THEN 'invalid' ELSE 'valid' END AS verdict, count(*) AS n FROM es GROUP BY ALL",
+    "q_date_mismatch": "SELECT o_custkey AS trace_id, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) != CAST(l_shipdate AS DATE) GROUP BY 1",
+    "q_resource_merge": "SELECT user_id AS trace_id, event_type AS key, arg_min(props, event_id) AS value FROM events GROUP BY ALL",
 }
