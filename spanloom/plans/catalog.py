@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom import lenses
 from spanloom.functions import numbers, text
-from spanloom.operators import agents, alignment, graph, graph_algorithms, monitoring, ranking, reports, selection, spans, validation
+from spanloom.operators import agents, alignment, graph, graph_algorithms, judgements, monitoring, ranking, reports, selection, spans, validation
 from spanloom.sources import metrics, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,3 +522,36 @@ def q_date_mismatch(spark, d):
 def q_resource_merge(spark, d):
     rows = lenses.table(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("place"), F.create_map(F.col("event_type"), F.col("props")).alias("attributes"))
     return agents.merged_resources(rows)
+
+
+@query
+def q_chain_normalize(spark, d):
+    w = Window.partitionBy("trace_id").orderBy("pos")
+    e = lenses.event_spans(spark, d)
+    rows = e.select("trace_id", F.col("span_id").alias("chain"), "pos", F.col("span_id").alias("a"), F.lead("span_id").over(w).alias("b"), F.lead("span_id", 2).over(w).alias("c")).where("c is not null")
+    chains = rows.select("trace_id", "chain", F.when(F.col("pos") % 3 == 0, F.col("b")).when(F.col("pos") % 3 == 1, F.col("a")).alias("root"), F.array("a", "b", "c").alias("path"))
+    out = judgements.normalised_chains(chains, graph.temporal_edges(graph.nodes_of_spans(e)))
+    return out.select("trace_id", "chain", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "path_valid")
+
+
+@query
+def q_semantic_edges(spark, d):
+    return judgements.semantic_edges(validation.delivery_links(lenses.dialogue_turns(spark, d)))
+
+
+@query
+def q_semantic_scores(spark, d):
+    e = lenses.event_spans(spark, d).withColumn("output", F.when(F.col("tool") == "click", "[]").otherwise("fine"))
+    reach = e.where("pos % 2 = 0").select("trace_id", "span_id", (F.col("pos") % 10 / F.lit(10.0)).alias("probability"))
+    return judgements.semantic_scores(validation.violations(e), reach)
+
+
+@query
+def q_missed_items(spark, d):
+    return judgements.missed_and_extra(lenses.alignment_pairs(spark, d))
+
+
+@query
+def q_signatures(spark, d):
+    t = F.col("text")
+    return lenses.table(spark, d, "documents").select("doc_id", F.size(text.signatures(t)).cast("long").alias("n_signatures"), F.size(text.dates(t)).cast("long").alias("n_dates"), F.size(text.required_tags(t)).cast("long").alias("n_tags"), text.final_answer(t).isNotNull().alias("answered"))

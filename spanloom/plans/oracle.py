@@ -242,4 +242,16 @@ ORACLE: dict[str, str] = {
     "q_verdicts": f"WITH {ES} SELECT trace_id, CASE WHEN status = 'Error' OR tool = 'click' THEN 'invalid' ELSE 'valid' END AS verdict, count(*) AS n FROM es GROUP BY ALL",
     "q_date_mismatch": "SELECT o_custkey AS trace_id, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) != CAST(l_shipdate AS DATE) GROUP BY 1",
     "q_resource_merge": "SELECT user_id AS trace_id, event_type AS key, arg_min(props, event_id) AS value FROM events GROUP BY ALL",
+    "q_chain_normalize": f"""WITH {ES}, x AS (SELECT trace_id, span_id AS a, pos, lead(span_id) OVER w AS b, lead(span_id, 2) OVER w AS c FROM es WINDOW w AS (PARTITION BY trace_id ORDER BY pos) QUALIFY c IS NOT NULL)
+      SELECT trace_id, a AS chain, CASE WHEN pos % 3 = 0 THEN b || '>' || a || '>' || c ELSE a || '>' || b || '>' || c END AS path, pos % 3 != 0 AS path_valid FROM x""",
+    "q_semantic_edges": f"""WITH {DIALOGUE}, x AS (SELECT trace_id, step, role, list_distinct({TOKENS}) AS w, lead(step) OVER o AS t, lead(role) OVER o AS tr, lead(content) OVER o AS tc FROM turns WINDOW o AS (PARTITION BY trace_id ORDER BY step)),
+      y AS (SELECT trace_id, step, t, len(list_intersect(w, list_distinct({TOKENS.replace('content', 'tc')}))) AS overlap FROM x WHERE t IS NOT NULL AND tr != role)
+      SELECT trace_id, step AS source, t AS target, CASE WHEN overlap >= 1 THEN 'SemanticPropagation' ELSE 'EvidenceExposure' END AS edge_type, round(least(0.45::DOUBLE + 0.1::DOUBLE * overlap, 1.0), 2) AS score FROM y""",
+    "q_semantic_scores": f"""WITH {ES}, v AS (SELECT trace_id, span_id, pos, CASE WHEN status = 'Error' THEN 1.0 ELSE 0.6 END::DOUBLE AS s FROM es WHERE status = 'Error' OR tool = 'click')
+      SELECT trace_id, span_id, round(s * CASE WHEN pos % 2 = 0 THEN greatest((pos % 10)::DOUBLE / 10, 0.65::DOUBLE) ELSE 0.35::DOUBLE END, 4) AS semantic_error_score FROM v""",
+    "q_missed_items": f"WITH {PAIRS} SELECT trace_id, human_impact AS impact, count(*) FILTER (NOT exact AND NOT chain_aware) AS missed, count(*) FILTER (a IS NULL) AS extra FROM ju GROUP BY ALL",
+    "q_signatures": r"""SELECT doc_id, CAST(len(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '\d+(?:\.\d+)?\s?(?:%|ms|km|kg|GB|MB|KB|USD|EUR)'),
+      list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 2 AND 24 AND NOT regexp_matches(x, '[:：#]$|^#'))))) AS BIGINT) AS n_signatures,
+      CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), '\d{4}[-/年]\d{1,2}[-/月]\d{1,2}'))) AS BIGINT) AS n_dates, CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), '<[a-zA-Z_][a-zA-Z0-9_]*>'))) AS BIGINT) AS n_tags,
+      regexp_matches(coalesce(text, ''), '(?i)final answer\s*[:：]\s*([^\n]+)') AS answered FROM documents""",
 }
