@@ -107,18 +107,27 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
         for batch, flat, at in text_chunks(batches):
             units, own = _units(flat, at)
             whole = rolling(units, length)
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            rows: list[tuple[int, int, int]] = []
+            places: list[np.ndarray] = []
+            keys: list[np.ndarray] = []
             for base, parts in zip(own.tolist(), batch.column("cut").to_pylist(), strict=False):
                 for p in parts:
                     w = np.arange(p["n"])
                     j = p["o"] - w
                     w = w[((j < second - first) | p["l_ok"]) & ((j > length - second) | p["r_ok"])]
-                    for col, v in zip(cols, (np.full(len(w), p["h"]), np.full(len(w), p["c"]), np.full(len(w), p["cnt"]), w, whole[base + p["a"] + w].view(np.int64)), strict=True):
-                        col.append(v)
-            made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(made, (np.int64, np.int64, np.int64, np.int32, np.int64), strict=True)], names=["h", "c", "cnt", "w", "key"])
+                    rows.append((p["h"], p["c"], p["cnt"]))
+                    places.append(w.astype(np.int32))
+                    keys.append(whole[base + p["a"] + w].view(np.int64))
+            at_ = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in places])]).astype(np.int32))
+            flat_of = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], pa.ListArray.from_arrays(at_, flat_of(places, np.int32)), pa.ListArray.from_arrays(at_, flat_of(keys, np.int64))],
+                names=["h", "c", "cnt", "w", "key"],
+            )
 
-    windows = checkpointed(held.mapInArrow(full, "h long, c long, cnt long, w int, key long"))
+    # a row a class here, as rows of single windows would take four times the space
+    windows = checkpointed(held.mapInArrow(full, "h long, c long, cnt long, w array<int>, key array<long>"))
+    windows = windows.select("h", "c", "cnt", F.explode(F.arrays_zip("w", "key")).alias("x")).select("h", "c", "cnt", "x.*")
     repeats = windows.groupBy("h", "key").agg(F.sum("cnt").alias("m")).where("m > 1").drop("m")
     runs = windows.where("cnt = 1").join(repeats, ["h", "key"], "left_semi").groupBy("h", "c").agg(F.collect_list(F.struct(F.col("w").alias("lo"), (F.col("w") + 1).alias("hi"))).alias("runs"))
     pure = classes.where("cnt > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
