@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard_join, quality_rules, sentencepiece_bpe, source_mixing, suffix_dedup
+from spanloom.llm.runtime import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents, each but the last written to the shared checkpoint folder, so that none runs twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = checkpointed(docs) if k < len(STAGES) - 1 else docs
     return docs
