@@ -178,7 +178,7 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(1, (1 << 24) // max(1, len(sets)))
+    step = max(1, (1 << 22) // max(1, len(sets)))
     for low in range(0, len(ids), step):
         x, y = np.searchsorted(code, [low, low + step])
         part = np.zeros((len(sets), min(step, len(ids) - low)), np.float32)

@@ -21,7 +21,7 @@ from spanloom.llm.runtime import text_chunks, texts_of
 
 SPACE = "\u2581"
 #: Chunks of text whose result a Python worker remembers at most, and the longest of them.
-MEMO_SIZE, MEMO_LENGTH = 400_000, 64
+MEMO_SIZE, MEMO_LENGTH = 200_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 TOKEN_SCHEMA = "doc_id long, ids array<int>, decoded string"
 _CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")

@@ -122,7 +122,7 @@ def resolve_hot(pieces: DataFrame, length: int) -> DataFrame:
 
     def ranges(size: int, parents: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
                 out: list[tuple] = []
                 for r in batch.to_pylist():
                     lowest, highest = r["o"] - r["n"] + 1, r["o"]
@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     texts = checkpointed(texts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in text_chunks(batches):
             rows = []
             for text, parts in zip(batch.column("text"), batch.column("cut"), strict=True):
                 raw = text.as_py().encode() if parts.is_valid else b""
