@@ -55,7 +55,8 @@ def search(table: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_
     Nearness is the largest cosine, in doubles on the vectors as they are; ties go to the smaller id.
     Vectors that are null, zero, hold a null or non-finite component, or have another length than the
     first pivot take no part, nor do rows of null id. A query has no row of its own id as a candidate.
-    With up to POSTED * 16 rows all of them are candidates. Further columns are ignored.
+    Copies are indexed once, by their vector, and stand for the smallest of their ids. With up to
+    POSTED * 16 distinct vectors all of them are candidates. Further columns are ignored.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -67,7 +68,11 @@ def search(table: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_
     width = len(sample[0].v)
     sample = [np.array(r.v, np.float64) for r in sample if len(r.v) == width]
     rows = rows.where(F.size("v") == width)
-    pivots = np.stack(sample)[: max(POSTED, min(PIVOTS, rows.count() // 16))]
+    asks = checkpointed(rows.where("q").select("id", "v").distinct())
+    # a row for each distinct vector with its k + 1 smallest ids: k of them at least are not the query's own
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    members = checkpointed(rows.select("id", "v").distinct().withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    pivots = np.stack(sample)[: max(POSTED, min(PIVOTS, members.count() // 16))]
     pivots = pivots / np.sqrt((pivots * pivots).sum(1, keepdims=True))
     posted = min(POSTED, len(pivots))
 
@@ -76,35 +81,45 @@ def search(table: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_
             if batch.num_rows:
                 near = nearest_pivots(vectors(batch.column("v")), pivots)[:, :posted].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, posted, dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "q", "near"])
-
-    kind = rows.schema["v"].dataType.simpleString()
-    near = checkpointed(rows.mapInArrow(post, f"id long, v {kind}, q boolean, near array<int>"))
-    files = near.select("q", F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).collect()
-    cuts = {r.pivot: (-(-r.n // FILE_ROWS), max(1, -(-r.m // QUERY_ROWS))) for r in files}
-    sizes = spark.createDataFrame([(p, a, b) for p, (a, b) in sorted(cuts.items())], "pivot int, files int, asks int")
-    posts = near.select("id", "v", "q", F.explode("near").alias("pivot")).join(F.broadcast(sizes), "pivot")  # at most PIVOTS rows
-    own = F.pmod(F.xxhash64("id"), F.col("files")).cast("int")
-    other = F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")).cast("int")
-    members = posts.select("pivot", own.alias("file"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "id", "v")
-    asking = posts.where("q").select(F.col("pivot").alias("of"), F.explode(F.sequence(F.lit(0), F.col("files") - 1)).alias("part"), other.alias("block"), F.col("id").alias("query"), F.col("v").alias("w"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
+
+    def postings(df: DataFrame) -> DataFrame:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.mapInArrow(post, f"{fields}, near array<int>").withColumn("pivot", F.explode("near")).drop("near")
+
+    members, asks = postings(members), postings(asks)
+    m = {r.pivot: r["count"] for r in asks.groupBy("pivot").count().collect()}
+    cuts = [(r.pivot, -(-r["count"] // FILE_ROWS), -(-m[r.pivot] // QUERY_ROWS)) for r in members.groupBy("pivot").count().collect() if r.pivot in m]
+    sizes = F.broadcast(spark.createDataFrame(sorted(cuts), "pivot int, files int, asks int"))  # at most PIVOTS rows
+    own = F.pmod(F.xxhash64("ids"), F.col("files")).cast("int")
+    other = F.pmod(F.xxhash64("id"), F.col("asks")).cast("int")
+    members = members.join(sizes, "pivot").select("pivot", own.alias("file"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "ids", "v")
+    asking = asks.join(sizes, "pivot").select(F.col("pivot").alias("of"), F.explode(F.sequence(F.lit(0), F.col("files") - 1)).alias("part"), other.alias("block"), F.col("id").alias("query"), F.col("v").alias("w"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             x, y = vectors(left.column("v").combine_chunks()), vectors(right.column("w").combine_chunks())
-            ids, asks = left.column("id").to_numpy(), right.column("query").to_numpy()
+            lists, asks = left.column("ids").combine_chunks(), right.column("query").to_numpy()
+            copies, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            at = np.cumsum(n) - n
             place, wanted = positions(nearest_pivots(x, pivots)), positions(nearest_pivots(y, pivots))
             norm = np.sqrt((x * x).sum(1))
             best = max(RERANKED_LEAST, int(np.ceil(RERANKED * len(x))))
             for a, p, v in zip(asks, wanted, y, strict=True):
+                own = copies[at] == a
+                alone = own & (n == 1)
                 footrule = np.abs(place - p).sum(1, dtype=np.int32)
-                footrule[ids == a] = np.iinfo(np.int32).max
-                found = np.argpartition(footrule, best - 1)[:best] if len(x) > best else np.arange(len(x))
-                found = found[ids[found] != a]
+                footrule[alone] = np.iinfo(np.int32).max
+                # all that tie at the cut are reranked
+                found = np.flatnonzero((footrule <= np.partition(footrule, best - 1)[best - 1] if len(x) > best else True) & ~alone)
                 score = (x[found] * v).sum(1) / (norm[found] * np.sqrt((v * v).sum()))
-                top = np.lexsort((ids[found], -score))[:k]
-                out.append((np.full(len(top), a), ids[found][top], score[top]))
+                least = copies[at[found] + own[found]]
+                top = np.lexsort((least, -score))[:k]
+                ids, score = np.concatenate([copies[at[t] : at[t] + n[t]] for t in found[top]] or [copies[:0]]), np.repeat(score[top], n[found[top]])
+                ids, score = ids[ids != a], score[ids != a]
+                top = np.lexsort((ids, -score))[:k]
+                out.append((np.full(len(top), a), ids[top], score[top]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 

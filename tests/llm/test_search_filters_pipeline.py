@@ -41,6 +41,23 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert permutation_index.search(df.where("vec_id >= 5000 and vec_id < 5200"), F.lit(True)).count() == 0
 
 
+def test_search_orders_copies_by_id(spark):
+    """Of exact copies and of multiples of one vector, the smallest ids are found, however many there are."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 16))
+    x[:1000] = x[0]
+    x[1000:1600] = x[1000] * 2.0 ** np.arange(-300, 300)[:, None]
+    ids = r.permutation(3000)
+    rows = [(int(i), [float(a) for a in v]) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for g in permutation_index.search(df, F.col("vec_id") % 10 == 0).collect():
+        found.setdefault(g.query_id, []).append((g.rank, g.vec_id))
+    for group in (ids[:1000], ids[1000:1600]):
+        for a in group[group % 10 == 0]:
+            assert [v for _, v in sorted(found[a])] == [i for i in sorted(group) if i != a][:5]
+
+
 def test_url_filter_as_of(spark):
     events = spark.createDataFrame(
         [("host", "A.example.com", "add", "2024-01-10"), ("host", "a.example.com", "remove", "2024-01-20"), ("domain", "example.com", "add", "2024-01-15"), ("domain", "example.com", "remove", "2024-01-15"), ("domain", "example.org", "add", "2024-01-05"), ("url", "http://b.net/x", "add", "2024-01-01"), ("host", None, "add", "2024-01-01")],
