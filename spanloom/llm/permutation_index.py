@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.runtime import checkpointed
 
-#: Pivots (a sample: the vectors of least hash), and the nearest of them that a vector is posted under and a query reads.
+#: Pivots (a sample: the distinct vectors of least hash), and the nearest of them that a vector is posted under and a query reads.
 PIVOTS, POSTED = 128, 12
+#: Vectors that reach the driver to draw pivots of different directions from.
+SAMPLED = 8 * PIVOTS
 #: Share of a file's block, and rows at least, that are reranked.
 RERANKED, RERANKED_LEAST = 0.08, 200
 #: Postings and queries that meet in one task at most.
@@ -43,6 +45,13 @@ def positions(order: np.ndarray) -> np.ndarray:
     return out
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of the rows in their order, without those that point where an earlier one does."""
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    repeats = np.tril(unit @ unit.T > 1 - 1e-12, -1).any(1)
+    return unit[~repeats]
+
+
 def usable(embedding: Column) -> Column:
     """Whether a vector takes part: no null or non-finite component, and not zero."""
     fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -61,19 +70,18 @@ def search(table: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_
     spark = table.sparkSession
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     empty = "query_id long, rank int, vec_id long, score double"
-    # the pivots: fixed in number, of the least hash of id and so the same in every run
-    sample = rows.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(PIVOTS).collect()
+    # a row for each distinct vector with its k + 1 smallest ids: k of them at least are not the query's own
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    members = checkpointed(rows.select("id", "v").distinct().withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    # the pivots: fixed in number, of the least hash of distinct vectors and so the same in every run
+    sample = members.select("v", "ids", F.xxhash64("v").alias("h")).orderBy("h", "ids").limit(SAMPLED).collect()
     if not sample:
         return spark.createDataFrame([], empty)
     width = len(sample[0].v)
-    sample = [np.array(r.v, np.float64) for r in sample if len(r.v) == width]
-    rows = rows.where(F.size("v") == width)
+    sample = directions(np.array([r.v for r in sample if len(r.v) == width], np.float64))
+    rows, members = rows.where(F.size("v") == width), members.where(F.size("v") == width)
     asks = checkpointed(rows.where("q").select("id", "v").distinct())
-    # a row for each distinct vector with its k + 1 smallest ids: k of them at least are not the query's own
-    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    members = checkpointed(rows.select("id", "v").distinct().withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    pivots = np.stack(sample)[: max(POSTED, min(PIVOTS, members.count() // 16))]
-    pivots = pivots / np.sqrt((pivots * pivots).sum(1, keepdims=True))
+    pivots = sample[: max(POSTED, min(PIVOTS, members.count() // 16))]
     posted = min(POSTED, len(pivots))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
