@@ -463,7 +463,7 @@ def q_judge_offline(spark, d):
 
 @query
 def q_mermaid(spark, d):
-    nodes = graph.nodes_of_spans(lenses.event_spans(spark, d)).where("ord <= 12")
+    nodes = graph.nodes_of_spans(lenses.event_spans(spark, d))
     return reports.mermaid(nodes, graph.temporal_edges(nodes))
 
 

@@ -110,3 +110,16 @@ def test_query(spark, name):
     plain = lambda rows: Counter(str(tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in r)) for r in rows)
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got.select(*want.columns).collect()) == plain(want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_mermaid_charts_whole_traces(spark):
+    traces = {}
+    for user, event, _ in sorted(spark.read.parquet(f"{SMALL}/events.parquet").select("user_id", "event_id", "ts").collect(), key=lambda r: (r.ts, r.event_id)):
+        traces.setdefault(user, []).append(event)
+    assert max(map(len, traces.values())) > 12
+    charts = {r.trace_id: r.chart.split("\n")[1:] for r in QUERIES["q_mermaid"](spark, SMALL).collect()}
+    assert charts.keys() == traces.keys()
+    for user, ids in traces.items():
+        assert [x.split("[")[0] for x in charts[user][: len(ids)]] == [f"  n{i}" for i in ids]
+        assert sorted(charts[user][len(ids) :]) == sorted(f"  n{a} -->|Temporal| n{b}" for a, b in zip(ids, ids[1:], strict=False))
