@@ -58,7 +58,7 @@ def q_nearest_ancestor_task(spark, d):
 
 @query
 def q_descendants(spark, d):
-    return spans.descendants_count(lenses.tree_spans(spark, d)).where(F.left("span_id", F.lit(1)).isin("R", "N")).select("span_id", "descendants")
+    return spans.descendants_count(lenses.tree_spans(spark, d)).select("span_id", "descendants")
 
 
 @query

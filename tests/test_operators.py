@@ -123,3 +123,18 @@ def test_mermaid_charts_whole_traces(spark):
     for user, ids in traces.items():
         assert [x.split("[")[0] for x in charts[user][: len(ids)]] == [f"  n{i}" for i in ids]
         assert sorted(charts[user][len(ids) :]) == sorted(f"  n{a} -->|Temporal| n{b}" for a, b in zip(ids, ids[1:], strict=False))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_descendants_of_all_levels(spark):
+    read = lambda t, *c: spark.read.parquet(f"{SMALL}/{t}.parquet").select(*c).collect()
+    above = {f"N{a}": f"R{b}" for a, b in read("nation", "n_nationkey", "n_regionkey")}
+    above |= {f"C{a}": f"N{b}" for a, b in read("customer", "c_custkey", "c_nationkey")}
+    above |= {f"O{a}": f"C{b}" for a, b in read("orders", "o_orderkey", "o_custkey")}
+    want = Counter()
+    for at in [*above.values(), *(f"O{r[0]}" for r in read("lineitem", "l_orderkey"))]:
+        while at is not None:
+            want[at] += 1
+            at = above.get(at)
+    assert {k[0] for k in want} == set("RNCO")
+    assert {r.span_id: r.descendants for r in QUERIES["q_descendants"](spark, SMALL).collect()} == want
