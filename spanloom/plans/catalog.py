@@ -453,7 +453,7 @@ def q_source_prometheus(spark, d):
 
 @query
 def q_digest(spark, d):
-    return reports.digest(lenses.event_spans(spark, d), most=5)
+    return reports.digest(lenses.event_spans(spark, d))
 
 
 @query

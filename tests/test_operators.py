@@ -138,3 +138,12 @@ def test_descendants_of_all_levels(spark):
             at = above.get(at)
     assert {k[0] for k in want} == set("RNCO")
     assert {r.span_id: r.descendants for r in QUERIES["q_descendants"](spark, SMALL).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_digest_lists_suspicious_spans_beyond_the_fifth(spark):
+    want = {}
+    for r in sorted(spark.read.parquet(f"{SMALL}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        want.setdefault(r.user_id, []).extend([str(r.event_id)] * (r.event_type == "error"))
+    assert 5 < max(map(len, want.values())) <= 80
+    assert {r.trace_id: r.suspicious for r in QUERIES["q_digest"](spark, SMALL).collect()} == {k: ",".join(v) for k, v in want.items()}
