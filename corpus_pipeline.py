@@ -38,10 +38,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row, the end id last."""
+    """doc_id, n_tokens and ids of every row, the end id last, and the SHA-256 of the text decoded from them."""
     from public_tokenizers import path
 
-    return sentencepiece_bpe.encode_documents(docs, path("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return sentencepiece_bpe.encode_documents(docs, path("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -182,3 +182,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             assert len(rows) == docs.count()
             for r in docs.collect():
                 assert r.ids == [*library.encode(before[r.doc_id]), 2] and r.n_tokens == len(r.ids)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_pipeline_returns_decoded_texts(spark):
+    from hashlib import sha256
+
+    from public_tokenizers import path
+    from sentencepiece import SentencePieceProcessor
+
+    import corpus_pipeline as p
+
+    library = SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 4 = 0")
+    want = {r.doc_id: sha256(library.decode(library.encode(r.text or "")).encode()).hexdigest() for r in docs.collect()}
+    assert len(want) > 20 and {r.doc_id: r.decoded_sha256 for r in p.tokens(spark, docs, SMALL).collect()} == want
