@@ -1,8 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash LSH with fixed banding and exact verification.
 
-Every document's shingle set gets a signature of several trees. A tree's signatures are strings of
-min-hashes; documents with a common prefix share a node of the tree's trie. The prefix starts at full
-depth and is shortened until all trees together reach the target recall at the threshold. Pairs that
+Every document's shingle set gets a signature of several trees: of each, one hash of its first
+min-hashes, and documents with the same hash share a node. How many min-hashes that are is fixed for all
+documents before, as the most at which all trees together reach the target recall at the threshold;
+this replaces the tries of an LSH forest, whose prefixes are shortened while matching. Pairs that
 share a node in some tree are verified on their whole shingle sets, once, in the first such tree.
 """
 
