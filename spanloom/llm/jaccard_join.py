@@ -1,10 +1,12 @@
-"""N-gram Jaccard join: MinHash LSH with fixed banding and exact verification.
-
-Every document's shingle set gets a signature of several trees: of each, one hash of its first
-min-hashes, and documents with the same hash share a node. How many min-hashes that are is fixed for all
-documents before, as the most at which all trees together reach the target recall at the threshold;
-this replaces the tries of an LSH forest, whose prefixes are shortened while matching. Pairs that
-share a node in some tree are verified on their whole shingle sets, once, in the first such tree.
+"""N-gram Jaccard join: MinHash LSH forest and exact verification.
+
+Every document's shingle set gets a label for each of several trees: its min-hashes there, a few bits
+each, one after the other. Labels sorted within a node are a prefix trie. Pairs meet at their longest
+common prefix over all trees and are verified on their whole shingle sets once, there. Prefixes are
+shortened level by level from the full depth: after each level the recall so far is measured on the
+verified pairs, whose chance of having met at that depth follows from their exact similarity, and the
+search ends once it reaches the target. The shortest prefix is the one at which even pairs at the threshold
+itself meet with the target recall.
 """
 
 from __future__ import annotations
@@ -20,20 +22,31 @@ from spanloom.llm import textscan
 from spanloom.llm.components import components
 from spanloom.llm.runtime import checkpointed, partitions, text_chunks, texts_of
 
-TREES, FULL_DEPTH = 20, 6
+#: Trees, min-hashes of a label, and bits of each in it.
+TREES, FULL_DEPTH, BITS = 20, 6, 10
 #: Members of a trie node that one task compares at once; larger nodes are cut into pairs of chunks.
 BLOCK = 1024
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, trees array<long>"
+SIGNATURE_SCHEMA = "doc_id long, tk long, n_shingles long, k1 long, k2 long, trees array<long>"
+
+
+def chance(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """Probability that two sets of the similarity share a prefix of the depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def depth_for(threshold: float, target: float, trees: int = TREES, full: int = FULL_DEPTH) -> int:
-    """The longest prefix, from ``full`` down, at which the trees find a pair at the threshold with the target recall."""
+    """The shortest prefix that is ever needed: the longest, from ``full`` down, at which pairs at the threshold meet with the target recall."""
     depth = full
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and chance(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
 
+def below(depth: int) -> int:
+    """Bits of a label below its prefix of the depth."""
+    return BITS * (FULL_DEPTH - depth)
+
+
 def shingles(flat: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, ascending, and the documents' offsets among them.
 
@@ -61,8 +74,8 @@ def shingles(flat: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return key, np.searchsorted(of, np.arange(len(at)))
 
 
-def signatures(key: np.ndarray, at: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """For each document and tree, the hash of the prefix of ``depth`` min-hashes; documents without shingles get zeros."""
+def signatures(key: np.ndarray, at: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """The label of each document in each tree; documents without shingles get zeros."""
     out = np.zeros((len(at) - 1, trees), np.uint64)
     full = np.flatnonzero(np.diff(at))
     if not len(full):
@@ -71,11 +84,11 @@ def signatures(key: np.ndarray, at: np.ndarray, depth: int, trees: int = TREES)
     factors = textscan.keys64(trees * FULL_DEPTH, 97)
     with np.errstate(over="ignore"):
         for tree in range(trees):
-            prefix = np.full(len(full), tree + 1, np.uint64)
-            for k in range(depth):
+            label = np.zeros(len(full), np.uint64)
+            for k in range(FULL_DEPTH):
                 least = np.minimum.reduceat((key * factors[tree * FULL_DEPTH + k]) >> np.uint64(16), at)
-                prefix = textscan.mix64(prefix * np.uint64(0x9E3779B97F4A7C15) + least)
-            out[full, tree] = prefix
+                label = (label << np.uint64(BITS)) | (textscan.mix64(least) >> np.uint64(64 - BITS))
+            out[full, tree] = label
     return out
 
 
@@ -89,18 +102,18 @@ def set_keys(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[0], sums[1]
 
 
-def signature_table(docs: DataFrame, n: int, depth: int) -> DataFrame:
-    """SIGNATURE_SCHEMA for each row of ``docs``."""
+def signature_table(docs: DataFrame, n: int) -> DataFrame:
+    """SIGNATURE_SCHEMA for each row of ``docs`` (doc_id, text, tk)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, at in text_chunks(batches):
             key, own = shingles(flat, at, n)
             k1, k2 = set_keys(key, own)
-            tree = signatures(key, own, depth)
+            tree = signatures(key, own)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tree.size + 1, TREES, dtype=np.int32)), pa.array(tree.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(own).astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], names=["doc_id", "n_shingles", "k1", "k2", "trees"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(np.diff(own).astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], names=["doc_id", "tk", "n_shingles", "k1", "k2", "trees"])
 
-    return texts_of(docs).mapInArrow(scan, SIGNATURE_SCHEMA)
+    return docs.mapInArrow(scan, SIGNATURE_SCHEMA)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -125,42 +138,57 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield rest.combine_chunks()
 
 
-def node_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows within each block for which this tree is the first in common, and the rows' blocks.
+KEY = ("tree", "node", "c1", "c2")
+
+
+def heads_of(table: pa.Table, prefix: int | None = None) -> np.ndarray:
+    """Whether each row, sorted by KEY and label, begins a block (or, with ``prefix``, a trie node of that depth in a block)."""
+    head = np.zeros(table.num_rows, bool)
+    head[:1] = True
+    for c in KEY:
+        v = table.column(c).to_numpy()
+        head[1:] |= v[1:] != v[:-1]
+    if prefix is not None:
+        v = table.column("label").to_numpy() >> below(prefix)
+        head[1:] |= v[1:] != v[:-1]
+    return head
+
+
+def node_pairs(table: pa.Table, least: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows whose longest common prefix over all trees is in this tree (the first such) and of depth ``least`` or more,
+    the prefix's depth, and the rows' trie nodes of depth ``least``.
 
     A block of two chunks pairs rows of one with rows of the other only.
     """
-    cols = {c: table.column(c).to_numpy() for c in ("tree", "node", "c1", "c2", "chunk")}
     n = table.num_rows
-    head = np.ones(n, bool)
-    head[1:] = np.logical_or.reduce([cols[c][1:] != cols[c][:-1] for c in ("tree", "node", "c1", "c2")])
+    head = heads_of(table, least)
     block = np.cumsum(head) - 1
     starts = np.append(np.flatnonzero(head), n)
-    # each row is paired with those after it in its block
+    # each row is paired with those after it in its trie node
     after = starts[block + 1] - np.arange(n) - 1
     a = np.repeat(np.arange(n), after)
     first = np.concatenate([[0], np.cumsum(after)])
     b = a + 1 + np.arange(len(a)) - first[a]
-    cross = cols["c1"][a] != cols["c2"][a]
-    keep = ~cross | (cols["chunk"][a] != cols["chunk"][b])
+    chunk, cross = table.column("chunk").to_numpy(), table.column("c1").to_numpy() != table.column("c2").to_numpy()
+    keep = ~cross[a] | (chunk[a] != chunk[b])
     a, b = a[keep], b[keep]
+    label, tree = table.column("label").to_numpy(), table.column("tree").to_numpy()
+    depth = np.full(len(a), least)
+    for d in range(least + 1, FULL_DEPTH + 1):
+        depth[(label[a] >> below(d)) == (label[b] >> below(d))] = d
     trees = np.asarray(table.column("trees").combine_chunks().flatten()).reshape(n, -1)
-    tree = cols["tree"][a]
-    for t in range(int(cols["tree"].max(initial=0))):
-        earlier = (t < tree) & (trees[a, t] == trees[b, t])
-        if earlier.any():
-            a, b, tree = a[~earlier], b[~earlier], tree[~earlier]
-    return a, b, block
+    for t in range(trees.shape[1]):
+        # a prefix as long in an earlier tree, or a longer one in a later tree, meets the pair instead
+        rival = depth + (t > tree[a])
+        beaten = (t != tree[a]) & (rival <= FULL_DEPTH) & (((trees[a, t] ^ trees[b, t]) >> (BITS * np.maximum(FULL_DEPTH - rival, 0))) == 0)
+        if beaten.any():
+            a, b, depth = a[~beaten], b[~beaten], depth[~beaten]
+    return a, b, depth, block
 
 
 def batches_of(table: pa.Table, limit: int = 300_000) -> Iterator[pa.Table]:
     """Slices of whole blocks with at most ``limit`` pairs (or one block)."""
-    n = table.num_rows
-    head = np.ones(n, bool)
-    for k, c in enumerate(("tree", "node", "c1", "c2")):
-        v = table.column(c).to_numpy()
-        head[1:] = (v[1:] != v[:-1]) | (head[1:] if k else False)
-    starts = np.append(np.flatnonzero(head), n)
+    starts = np.append(np.flatnonzero(heads_of(table)), table.num_rows)
     pairs = np.concatenate([[0], np.cumsum(np.diff(starts) ** 2)])
     low = 0
     while low < len(starts) - 1:
@@ -188,99 +216,148 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return np.rint(total[a, b]).astype(np.int64)
 
 
-def forest_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, target: float = 0.9999) -> DataFrame:
-    """Links of every row of ``docs`` to rows with Jaccard similarity of word n-grams >= threshold.
+def row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``tk``, which tells rows of one doc_id apart by their text."""
+    return texts_of(docs).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
 
-    Returns doc_id, class_id (the smallest doc_id of the rows that links connect), n_links (rows linked
-    with it, copies included), rep_id (the smallest doc_id with the same shingle set), n_shingles. Rows with
-    equal shingle sets are one class from the start, so copies are never paired. Texts without a word
-    (null, empty) link to nothing and are a class each; shorter texts than n words have one shingle.
-    Repeated rows are copies. Rows of null doc_id are ignored. Similarity is exact; a pair at the threshold
-    is found with probability >= ``target``.
+
+def linked(docs: DataFrame, threshold: float, n: int, target: float) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, tk, n_shingles) with its class of equal shingle sets and the class that links connect it to.
+
+    ``rep`` and ``top`` are the least (is_null, doc_id, tk) of either, null for texts without a word; ``links`` counts rows.
     """
-    spark, depth = docs.sparkSession, depth_for(threshold, target)
-    docs = texts_of(docs).where(F.col("doc_id").isNotNull())
-    table = checkpointed(signature_table(docs, n, depth))
-    classes = checkpointed(table.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("trees").alias("trees")))
-    found = classes.select("rep", F.posexplode("trees").alias("tree", "node"))
+    spark, floor = docs.sparkSession, depth_for(threshold, target)
+    docs = row_keys(docs)
+    table = checkpointed(signature_table(docs, n))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk"))
+    sets_of = ["k1", "k2", "n_shingles"]
+    classes = checkpointed(table.where("n_shingles > 0").groupBy(*sets_of).agg(least.alias("rep"), F.count("*").alias("copies"), F.first("trees").alias("trees")).withColumn("cid", F.xxhash64(*sets_of)))
+    found = classes.select("cid", F.posexplode("trees").alias("tree", "label")).withColumn("node", F.shiftright("label", below(floor)))
     full = found.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1")
     # members of nodes that hold two classes at least
-    members = found.join(full, ["tree", "node"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    listed = members.groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "chunks", "chunk")).alias("nodes"))
-    members = listed.join(classes.select("rep", "copies", "trees"), "rep").select("rep", "copies", "trees", F.explode("nodes").alias("x")).select("rep", "copies", "trees", "x.*")
+    members = found.join(full, ["tree", "node"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("chunk", F.pmod("cid", F.col("chunks")).cast("int"))
+    listed = members.groupBy("cid").agg(F.collect_list(F.struct("tree", "node", "label", "chunks", "chunk")).alias("nodes"))
+    members = listed.join(classes.select("cid", "trees"), "cid").select("cid", "trees", F.explode("nodes").alias("x")).select("cid", "trees", "x.*")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    blocks = members.select("*", other).select("rep", "copies", "trees", "tree", "node", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
-    key = ["tree", "node", "c1", "c2"]
+    blocks = members.select("*", other).select("cid", "trees", "tree", "node", "label", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups(batches, key):
+        for whole in groups(batches, list(KEY)):
             for part in batches_of(whole):
-                a, b, _ = node_pairs(part)
-                yield from part.take(np.union1d(a, b)).to_batches()
-
-    schema = "rep long, copies long, trees array<long>, tree int, node long, chunk int, c1 int, c2 int"
-    need = blocks.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(needed, schema)
-    need = need.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("trees").alias("trees"), F.collect_list(F.struct("tree", "node", "chunk", "c1", "c2")).alias("blocks"))
-    one = docs.join(need, F.col("doc_id") == F.col("rep")).drop("doc_id")
+                a, b, depth, _ = node_pairs(part, floor)
+                for d in range(floor, FULL_DEPTH + 1):
+                    rows = part.take(np.union1d(a[depth == d], b[depth == d])).drop(["trees"])
+                    yield from rows.append_column("depth", pa.array(np.full(rows.num_rows, d, np.int32))).to_batches()
+
+    place = "tree int, node long, label long, chunk int, c1 int, c2 int, depth int"
+    need = blocks.repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY, "label").mapInArrow(needed, f"cid long, {place}")
+    need = need.groupBy("cid").agg(F.collect_list(F.struct(*[x.split()[0] for x in place.split(", ")])).alias("places")).join(classes.select("cid", "rep", "copies", "trees"), "cid")
+    # the shingle sets of all that meet anywhere, once
+    key = F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none")
+    texts = docs.select(*key, "tk", "text")
+    wanted = need.select(F.coalesce("rep.doc_id", F.lit(0)).alias("d"), F.col("rep.none").alias("none"), F.col("rep.tk").alias("tk"), "cid", "copies", "trees", "places")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, at in text_chunks(batches):
             hashes, own = shingles(flat, at, n)
             packed = [hashes[own[i] : own[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("trees"), batch.column("blocks"), pa.array(packed, pa.binary())], names=["rep", "copies", "trees", "blocks", "hashes"])
+            names = ["cid", "copies", "trees", "places"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(packed, pa.binary())], names=[*names, "hashes"])
+
+    fields = ", ".join(x.replace(" ", ":").replace("long", "bigint") for x in place.split(", "))
+    packed = texts.join(wanted, ["d", "none", "tk"]).select("cid", "copies", "trees", "places", "text").mapInArrow(sets, f"cid long, copies long, trees array<long>, places array<struct<{fields}>>, hashes binary")
+    packed = checkpointed(packed)
+    depths, links = list(range(FULL_DEPTH, floor - 1, -1)), None
+    for level, d in enumerate(depths):
+
+        def verify(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
+            for whole in groups(batches, list(KEY)):
+                for part in batches_of(whole):
+                    yield verified(part, threshold, d, depths)
+
+        at = packed.withColumn("places", F.filter("places", lambda x: x["depth"] == d)).where(F.size("places") > 0)  # noqa: B023
+        at = at.select("cid", "copies", "trees", "hashes", F.explode("places").alias("x")).select("cid", "copies", "trees", "hashes", "x.*")
+        met = checkpointed(at.repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY, "label", "cid").mapInArrow(verify, "cid long, links long, root long, pairs long, odds array<double>"))
+        links = met if links is None else links.unionByName(met)
+        so_far = links.agg(F.sum("pairs").alias("pairs"), F.sum(F.col("odds")[level]).alias("all")).first()
+        if so_far.pairs and so_far.pairs >= target * round(so_far["all"], 6):
+            break
+    joined = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
+    joined = checkpointed(joined.join(classes.select("cid", "rep"), "cid"))
+    tops = joined.join(joined.groupBy("root").agg(F.min("rep").alias("top")), "root").select("cid", "top")
+    degree = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    classes = classes.drop("trees").join(degree, "cid", "left").join(tops, "cid", "left")
+    classes = classes.select(*sets_of, "rep", F.coalesce("top", "rep").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return table.drop("trees").join(classes, sets_of, "left").drop("k1", "k2")
 
-    block = "array<struct<tree:int,node:bigint,chunk:int,c1:int,c2:int>>"
-    packed = one.mapInArrow(sets, f"rep long, copies long, trees array<long>, blocks {block}, hashes binary")
-    placed = packed.select("rep", "copies", "trees", "hashes", F.explode("blocks").alias("b")).select("rep", "copies", "trees", "hashes", "b.*")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups(batches, key):
-            for part in batches_of(whole):
-                yield verified(part, threshold)
+def forest_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, target: float = 0.9999) -> DataFrame:
+    """Links of every row of ``docs`` to rows with Jaccard similarity of word n-grams >= threshold.
 
-    links = checkpointed(placed.repartition(partitions(spark), *key).sortWithinPartitions(*key, "rep").mapInArrow(verify, "rep long, links long, root long"))
-    joined = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = classes.join(degree, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n_shingles", "rep", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = table.drop("trees").join(classes, ["k1", "k2", "n_shingles"], "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "doc_id").alias("rep_id"), "n_shingles")
+    Returns doc_id, class_id (the smallest doc_id of the rows that links connect), n_links (rows linked
+    with it, copies included), rep_id (the smallest doc_id with the same shingle set), n_shingles. Rows with
+    equal shingle sets are one class from the start, so copies are never paired. Texts without a word
+    (null, empty) link to nothing and are a class each; shorter texts than n words have one shingle.
+    Repeated rows are copies, and of texts with one doc_id each counts by itself. Rows of null doc_id take part;
+    class_id or rep_id is null where no row of the class has an id. An empty table gives no rows; further
+    columns are ignored. Similarity is exact; of all links, ``target`` at least is found in expectation.
+    """
+    out = linked(docs, threshold, n, target)
+    own = lambda c: F.when(F.col("n_shingles") > 0, F.col(f"{c}.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", own("top").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own("rep").alias("rep_id"), "n_shingles")
+
+
+def distinct_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, target: float = 0.9999) -> DataFrame:
+    """The rows of ``docs`` of which one a class of ``forest_join`` stays: that of the smallest doc_id (null last, then by a hash of the text).
+
+    Texts without a word are a class each and all stay. Of repeated rows of one doc_id and text the least by
+    all its columns stays, so runs agree. Columns are kept, whatever their names.
+    """
+    found = linked(docs, threshold, n, target)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    kept = found.where((F.col("n_shingles") == 0) | (F.col("top") == own)).select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), "tk", (F.col("n_shingles") == 0).alias("bare")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tk"))
+    rows = rows.join(kept, ["d", "none", "tk"])
+    one = rows.where("not bare").groupBy("d", "none", "tk").agg(F.min("row").alias("row"))
+    return one.select("row").unionByName(rows.where("bare").select("row")).select("row.*")
 
 
-def verified(part: pa.Table, threshold: float) -> pa.RecordBatch:
-    """Links within the blocks of a table: for each class with one, the rows it links to, and the root of its local component.
+def verified(part: pa.Table, threshold: float, depth: int, depths: list[int]) -> pa.RecordBatch:
+    """Links within the trie nodes of a table whose pairs meet at ``depth``: for each class with one, the rows it links to, the root of
+    its local component, the pairs it is first in, and for each of ``depths`` the sum over these of one by their chance to meet there.
 
     A class that a join has doubled (repeated rows of its doc_id) counts once.
     """
-    rep = part.column("rep").to_numpy()
-    if part.num_rows:
-        fresh = np.ones(part.num_rows, bool)
-        fresh[1:] = rep[1:] != rep[:-1]
-        for c in ("tree", "node", "c1", "c2"):
-            v = part.column(c).to_numpy()
-            fresh[1:] |= v[1:] != v[:-1]
-        if not fresh.all():
-            part = part.filter(pa.array(fresh)).combine_chunks()
-            rep = rep[fresh]
+    cid = part.column("cid").to_numpy()
+    fresh = heads_of(part, FULL_DEPTH)
+    fresh[1:] |= cid[1:] != cid[:-1]
+    if not fresh.all():
+        part = part.filter(pa.array(fresh)).combine_chunks()
+        cid = cid[fresh]
     copies = part.column("copies").to_numpy()
-    data = part.column("hashes").to_pylist()
-    values = [np.frombuffer(d, np.uint64) for d in data]
-    a, b, block = node_pairs(part)
+    values = [np.frombuffer(d, np.uint64) for d in part.column("hashes").to_pylist()]
+    a, b, met, block = node_pairs(part, depth)
     size = np.array([len(v) for v in values], np.int64)
-    close = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+    close = (met == depth) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
     a, b = a[close], b[close]
-    degree, root = np.zeros(len(rep), np.int64), rep.copy()
+    degree, root, pairs, odds = np.zeros(len(cid), np.int64), cid.copy(), np.zeros(len(cid), np.int64), np.zeros((len(cid), len(depths)))
     cuts = np.searchsorted(block[a], np.arange(block[-1] + 2 if len(block) else 1))
     tops = np.searchsorted(block, np.arange(len(cuts)))
     for k in range(len(cuts) - 1):
         x, y = a[cuts[k] : cuts[k + 1]], b[cuts[k] : cuts[k + 1]]
         if not len(x):
             continue
-        low, high = tops[k], tops[k + 1] if k + 1 < len(tops) else len(rep)
+        low, high = tops[k], tops[k + 1] if k + 1 < len(tops) else len(cid)
         shared = overlaps(values[low:high], x - low, y - low)
-        ok = shared >= threshold * (size[x] + size[y] - shared) - 1e-9
-        x, y = x[ok], y[ok]
+        union = size[x] + size[y] - shared
+        ok = shared >= threshold * union - 1e-9
+        x, y, alike = x[ok], y[ok], (shared[ok] / union[ok])
         np.add.at(degree, x, copies[y])
         np.add.at(degree, y, copies[x])
+        np.add.at(pairs, x, 1)
+        for i, d in enumerate(depths):
+            np.add.at(odds[:, i], x, 1 / chance(alike, d))
         while len(x):  # smallest root along the pairs
             least = np.minimum(root[x], root[y])
             old = root.copy()
@@ -289,4 +366,5 @@ def verified(part: pa.Table, threshold: float) -> pa.RecordBatch:
             if (old == root).all():
                 break
     has = degree > 0
-    return pa.RecordBatch.from_arrays([pa.array(rep[has]), pa.array(degree[has]), pa.array(root[has])], names=["rep", "links", "root"])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, has.sum() * len(depths) + 1, len(depths), dtype=np.int32)), pa.array(odds[has].ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(cid[has]), pa.array(degree[has]), pa.array(root[has]), pa.array(pairs[has]), lists], names=["cid", "links", "root", "pairs", "odds"])

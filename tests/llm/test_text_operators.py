@@ -170,6 +170,27 @@ def test_without_repeats_keeps_characters(docs):
         assert r.text is None or "�" not in r.text
 
 
+def test_periodic_text_is_one_row_a_run(spark):
+    """One letter or one phrase again and again takes a few rows, not one a window; what is removed stays exact."""
+    texts = ["a" * 20000, "ab " * 5000, "xyz" + "a" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert suffix_dedup.segment_table(suffix_dedup.keyed(rows), 100).count() < 60
+    data = [t.encode() for t in texts]
+    want = {i: sum(g) for i, g in enumerate(plain_removal(data, 100))}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(rows, 100).collect()} == want
+    words = [WORD.findall(t) for t in texts]
+    want = {i: sum(g) for i, g in enumerate(plain_removal(words, 35))}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_words(rows).collect()} == want
+
+
+def test_without_repeats_keeps_clashing_columns(spark):
+    names = ["doc_id", "text", "tk", "h", "spans", "row", "kept"]
+    rows = spark.createDataFrame([(i, "z" * 300 if i < 2 else "short", f"k{i}", 1, 2, 3, 4) for i in range(3)], ", ".join(f"{n} {'string' if n in ('text', 'tk') else 'long'}" for n in names))
+    got = suffix_dedup.without_repeats(rows, 100)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == [(0, "", "k0", 1, 2, 3, 4), (1, "", "k1", 1, 2, 3, 4), (2, "short", "k2", 1, 2, 3, 4)]
+
+
 def test_substring_dedup(docs, empty):
     rows = docs.collect()
     words = [WORD.findall(r.text or "") for r in rows]
@@ -198,6 +219,46 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, block):
     assert jaccard_join.depth_for(0.8, 0.9999) == 4 and jaccard_join.depth_for(0.99, 0.9999) == 6
 
 
+def test_jaccard_join_ids(spark):
+    """Rows without an id take part, texts of one id count by themselves, and one row a class stays."""
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    rows = [(None, a), (7, a + " x"), (7, b), (None, b + " y z"), (3, "lone text of some words"), (None, "quite another text of words"), (None, None), (9, ""), (3, "lone text of some words")]
+    df = spark.createDataFrame([(i, t, f"c{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, tk string")
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.rep_id) for r in jaccard_join.forest_join(df).collect())
+    assert got == Counter([(None, 7, 1, None), (7, 7, 1, 7), (7, 7, 1, 7), (None, 7, 1, None), (3, 3, 1, 3), (3, 3, 1, 3), (None, None, 0, None), (None, None, 0, None), (9, 9, 0, 9)])
+    kept = jaccard_join.distinct_documents(df)
+    assert kept.columns == df.columns
+    assert sorted(r.tk for r in kept.collect()) == ["c1", "c2", "c4", "c5", "c6", "c7"]
+    assert jaccard_join.distinct_documents(df.where("false")).count() == 0
+
+
+def test_forest_meets_pairs_at_their_longest_prefix(spark):
+    """Each pair is met once, where its labels agree longest; the chance of it is what is measured."""
+    r = np.random.default_rng(4)
+    n, floor = 40, 4
+    base = r.integers(0, 1 << 60, jaccard_join.TREES)
+    labels = np.array([[x if r.random() < 0.1 else (x >> (10 * (c := int(r.integers(0, 7))))) << (10 * c) | int(r.integers(0, 1 << (10 * c))) for x in base.tolist()] for _ in range(n)], np.int64)
+    import pyarrow as pa
+
+    met = Counter()
+    for t in range(jaccard_join.TREES):
+        for node in np.unique(labels[:, t] >> 20):
+            rows = np.flatnonzero(labels[:, t] >> 20 == node)
+            rows = rows[np.argsort(labels[rows, t], kind="stable")]
+            one = np.zeros(len(rows), np.int32)
+            part = pa.table({"tree": one + t, "node": np.full(len(rows), node), "c1": one, "c2": one, "chunk": one, "label": labels[rows, t], "trees": pa.array(labels[rows].tolist(), pa.list_(pa.int64()))})
+            a, b, depth, _ = jaccard_join.node_pairs(part, floor)
+            met.update((*sorted((int(rows[x]), int(rows[y]))), int(d)) for x, y, d in zip(a, b, depth, strict=True))
+    want = Counter()
+    for i in range(n):
+        for j in range(i + 1, n):
+            best = max(max((d for d in range(7) if x >> (10 * (6 - d)) == y >> (10 * (6 - d))), default=0) for x, y in zip(labels[i].tolist(), labels[j].tolist(), strict=True))
+            if best >= floor:
+                want[i, j, best] += 1
+    assert met == want and len({k[2] for k in want}) == 3
+
+
 def test_mixing(docs, empty):
     assert source_mixing.targets([100, 100, 100], (1, 2, 3)) == [50.0, 100.0, 150.0]
     assert source_mixing.targets([600, 10, 10], (1, 2, 3)) == [560.0, 30.0, 30.0]
