@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from spanloom.llm import textscan
 from spanloom.llm.anchors import Segments, rolling, segments
 from spanloom.llm.runtime import checkpointed, text_chunks
-from spanloom.llm.suffix_dedup import content_key, cover, keyed, same_row
+from spanloom.llm.suffix_dedup import content_key, cover, keyed, placed, runs_of, same_row
 
-SEGMENT = "doc_id long, tk int, a int, n int, o int, h long, l long, r long, c long"
+SEGMENT = "doc_id long, tk int, a int, n int, o int, r int, h long, left long, right long, c long"
 
 
 def levels(length: int) -> tuple[int, int]:
@@ -56,7 +56,7 @@ def chosen(s: Segments, firsts: list[list[int]]) -> np.ndarray:
 
 def extended(texts: DataFrame, length: int) -> DataFrame:
     """SEGMENT rows of the listed segments (``firsts``) of texts: second-level hashes left and right of the anchor, null
-    where no full window holds them, and a hash of all the segment's words."""
+    where no full window holds them, a hash of all the segment's words, and how often it follows itself (``r``)."""
     first, second = levels(length)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,10 +70,12 @@ def extended(texts: DataFrame, length: int) -> DataFrame:
             has_left, has_right = o >= second - first, o - n + 1 <= length - second
             left = wide[np.where(has_left, place - (second - first), 0)].view(np.int64) if len(wide) else np.zeros(0, np.int64)
             right = wide[np.where(has_right, place, 0)].view(np.int64) if len(wide) else np.zeros(0, np.int64)
-            keys = [content_key(units[x : x + w + length - 1].tobytes()) for x, w in zip(flat_first.tolist(), n.tolist(), strict=True)]
-            of = pa.array(s.doc[k])
+            keys = np.array([content_key(units[x : x + w + length - 1].tobytes()) for x, w in zip(flat_first.tolist(), n.tolist(), strict=True)], np.int64)
+            # chosen segments may have gaps between them
+            t, again = runs_of(s.doc[k], s.key[k], keys, n, o, s.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n)
+            of = pa.array(s.doc[k][t])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(of), batch.column("tk").take(of), *[pa.array(v.astype(np.int32)) for v in (s.first[k], n, o)], pa.array(s.key[k].view(np.int64)), pa.array(left, mask=~has_left), pa.array(right, mask=~has_right), pa.array(keys, pa.int64())],
+                [batch.column("doc_id").take(of), batch.column("tk").take(of), *[pa.array(v.astype(np.int32)) for v in (s.first[k][t], n[t], o[t], again)], pa.array(s.key[k][t].view(np.int64)), pa.array(left[t] if len(wide) else left, mask=~has_left[t]), pa.array(right[t] if len(wide) else right, mask=~has_right[t]), pa.array(keys[t])],
                 names=[f.split()[0] for f in SEGMENT.split(", ")],
             )
 
@@ -90,15 +92,15 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     texts = checkpointed(docs.alias("x").join(firsts.alias("y"), same_row()).select("x.doc_id", "x.tk", "x.text", "y.firsts"))
     # level two, on the distinct segments
     table = checkpointed(extended(texts, length))
-    classes = table.groupBy("h", "c").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "tk", "a", "n", "o", "l", "r")).alias("at"))
+    classes = table.groupBy("h", "c").agg(F.sum("r").alias("cnt"), F.min(F.struct("doc_id", "tk", "a", "n", "o", "left", "right")).alias("at"))
     classes = checkpointed(classes.select("h", "c", "cnt", "at.*"))
     heads = classes.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").drop("texts")
     mixed = classes.join(heads, "h", "left_semi")
-    sides = mixed.select("cnt", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("w")), F.struct(F.lit(1).alias("side"), F.col("r").alias("w")))).alias("x")).select("cnt", "h", "x.*")
+    sides = mixed.select("cnt", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("w")), F.struct(F.lit(1).alias("side"), F.col("right").alias("w")))).alias("x")).select("cnt", "h", "x.*")
     wide = sides.where("w is not null").groupBy("h", "side", "w").agg(F.sum("cnt").alias("m")).where("m > 1").drop("m")
-    left = wide.where("side = 0").select("h", F.col("w").alias("l"), F.lit(True).alias("l_ok"))
-    right = wide.where("side = 1").select("h", F.col("w").alias("r"), F.lit(True).alias("r_ok"))
-    mixed = mixed.join(left, ["h", "l"], "left").join(right, ["h", "r"], "left").where("l_ok or r_ok")
+    left = wide.where("side = 0").select("h", F.col("w").alias("left"), F.lit(True).alias("l_ok"))
+    right = wide.where("side = 1").select("h", F.col("w").alias("right"), F.lit(True).alias("r_ok"))
+    mixed = mixed.join(left, ["h", "left"], "left").join(right, ["h", "right"], "left").where("l_ok or r_ok")
     # the full length, from the texts of one representative each
     lists = mixed.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "c", "cnt", "a", "n", "o", F.coalesce("l_ok", F.lit(False)).alias("l_ok"), F.coalesce("r_ok", F.lit(False)).alias("r_ok"))).alias("cut"))
     held = texts.alias("x").join(lists.alias("y"), same_row()).select("x.text", "y.cut")
@@ -131,8 +133,7 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     repeats = windows.groupBy("h", "key").agg(F.sum("cnt").alias("m")).where("m > 1").drop("m")
     runs = windows.where("cnt = 1").join(repeats, ["h", "key"], "left_semi").groupBy("h", "c").agg(F.collect_list(F.struct(F.col("w").alias("lo"), (F.col("w") + 1).alias("hi"))).alias("runs"))
     pure = classes.where("cnt > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
-    spans = table.join(runs.unionByName(pure), ["h", "c"]).select("doc_id", "tk", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("a")).alias("lo"), (r["hi"] + F.col("a")).alias("hi"))).alias("runs"))
-    return texts.select("doc_id", "tk", "text"), spans.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    return texts.select("doc_id", "tk", "text"), placed(table, runs.unionByName(pure))
 
 
 def remove_repeated_words(docs: DataFrame, length: int = 35) -> DataFrame:

@@ -42,21 +42,48 @@ def content_key(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
 
 
+def runs_of(doc: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each run of equal neighbours, and the runs' lengths.
+
+    Segments of one document follow each other without a gap. In periodic text (one letter, one phrase again and
+    again) neighbours are equal in all they have, and one row stands for the whole run.
+    """
+    head = np.ones(len(doc), bool)
+    for v in (doc, *same):
+        head[1:] &= v[1:] == v[:-1]
+    head[1:] = ~head[1:]
+    first = np.flatnonzero(head)
+    return first, np.diff(np.append(first, len(doc)))
+
+
+def gram_of(length: int) -> int:
+    """Bytes of the anchor of windows of the length."""
+    return max(1, min(GRAM, length // 4))
+
+
 def segment_table(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, tk, anchor key ``h``, content key ``c``, first window ``a`` and number of windows ``n`` of all segments."""
+    """doc_id, tk, anchor key ``h``, content key ``c``, first window ``a``, number of windows ``n``, anchor's place ``o`` and repetitions ``r`` of all segments."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, at in text_chunks(batches):
-            s = segments(BYTE_KEYS[flat], at, length, min(GRAM, length))
+            s = segments(BYTE_KEYS[flat], at, length, gram_of(length))
             data = memoryview(np.ascontiguousarray(flat))
-            keys = [content_key(data[x : x + w + length - 1]) for x, w in zip(s.flat.tolist(), s.windows.tolist(), strict=True)]
-            of = pa.array(s.doc)
+            keys = np.array([content_key(data[x : x + w + length - 1]) for x, w in zip(s.flat.tolist(), s.windows.tolist(), strict=True)], np.int64)
+            k, again = runs_of(s.doc, s.key, keys, s.windows, s.anchor)
+            of = pa.array(s.doc[k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(of), batch.column("tk").take(of), pa.array(s.key.view(np.int64)), pa.array(keys, pa.int64()), pa.array(s.first.astype(np.int32)), pa.array(s.windows.astype(np.int32)), pa.array(s.anchor.astype(np.int32))],
-                names=["doc_id", "tk", "h", "c", "a", "n", "o"],
+                [batch.column("doc_id").take(of), batch.column("tk").take(of), pa.array(s.key[k].view(np.int64)), pa.array(keys[k]), *[pa.array(v.astype(np.int32)) for v in (s.first[k], s.windows[k], s.anchor[k], again)]],
+                names=["doc_id", "tk", "h", "c", "a", "n", "o", "r"],
             )
 
-    return docs.mapInArrow(scan, "doc_id long, tk int, h long, c long, a int, n int, o int")
+    return docs.mapInArrow(scan, "doc_id long, tk int, h long, c long, a int, n int, o int, r int")
+
+
+def placed(table: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, tk and the spans of repeated windows in each of the segments of ``table``; a run of equal segments repeats throughout."""
+    more = (F.col("r") - 1) * F.col("n")
+    spans = table.join(runs, ["h", "c"]).select("doc_id", "tk", F.transform("runs", lambda x: F.struct((x["lo"] + F.col("a")).alias("lo"), (x["hi"] + F.col("a") + more).alias("hi"))).alias("runs"))
+    return spans.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
 def block_runs(parts: list[bytes], count: list[int], windows: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -163,9 +190,9 @@ def resolve_hot(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Texts with repeats (doc_id, tk, text) and their spans (doc_id, tk, spans of repeated window starts)."""
     table = segment_table(docs, length)
-    twice = checkpointed(table.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").drop("m"))
+    twice = checkpointed(table.groupBy("h").agg(F.sum("r").alias("m")).where("m > 1").drop("m"))
     table = checkpointed(table.join(twice, "h", "left_semi"))
-    classes = table.groupBy("h", "c").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "tk", "a", "n", "o")).alias("at"))
+    classes = table.groupBy("h", "c").agg(F.sum("r").alias("cnt"), F.min(F.struct("doc_id", "tk", "a", "n", "o")).alias("at"))
     classes = checkpointed(classes.select("h", "c", "cnt", "at.*"))
     heads = classes.groupBy("h").agg(F.count("*").alias("texts"), F.sum(F.col("n") + length).alias("bytes"))
     mixed = classes.join(heads.where("texts > 1"), "h")
@@ -190,8 +217,7 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         runs = runs.unionByName(resolve_hot(checkpointed(pieces.where("hot").drop("hot").dropDuplicates(["h", "c"])), length))
     pure = classes.join(heads.where("texts = 1"), "h", "left_semi").select("h", "c", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     runs = runs.unionByName(pure)
-    spans = table.join(runs, ["h", "c"]).select("doc_id", "tk", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("a")).alias("lo"), (r["hi"] + F.col("a")).alias("hi"))).alias("runs"))
-    return texts.select("doc_id", "tk", "text"), spans.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    return texts.select("doc_id", "tk", "text"), placed(table, runs)
 
 
 def cover(spans: list[dict], length: int, n: int) -> np.ndarray:
@@ -243,9 +269,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with repeats removed from ``text`` as ``remove_repeats`` does, but a character only if all its bytes go.
 
-    Texts that lose nothing stay as they are, null included; other columns are kept.
+    Texts that lose nothing stay as they are, null included; other columns are kept, whatever their names.
     """
-    rows = docs.withColumn("tk", F.hash(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tk"))
     gone = stripped(keyed(docs), length, whole_characters=True)
     out = rows.alias("x").join(gone.alias("y"), same_row(), "left")
-    return out.select(*[F.coalesce(F.col("y.kept").cast("string"), F.col("x.text")).alias("text") if c == "text" else F.col(f"x.`{c}`") for c in docs.columns])
+    return out.select(*[F.coalesce(F.col("y.kept").cast("string"), F.col("x.row.text")).alias("text") if c == "text" else F.col(f"x.row.`{c}`") for c in docs.columns])
