@@ -11,29 +11,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import textscan
-from spanloom.llm.runtime import checkpointed, text_chunks, texts_of
+from spanloom.llm.runtime import checkpointed, partitions, text_chunks, texts_of
 
 #: Words of a block, and the most blocks of a source; larger sources have larger blocks.
 BLOCK_WORDS, MAX_BLOCKS = 1 << 16, 4096
 #: Words of an output shard; at least so many shards.
 SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 24, 16, 4096
-MIX_SCHEMA = "doc_id long, source string, size long, source_size long, target double, taken long, shards array<int>"
+MIX_SCHEMA = "doc_id long, tk long, source string, size long, source_size long, target double, taken long, shards array<int>"
+
+
+def row_key(text: str, source: str) -> Column:
+    """Tells rows of one doc_id apart by what they hold."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull())
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each row."""
+    """doc_id, key ``tk``, source and the number of words of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, at in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(textscan.words(flat, at)[2]).astype(np.int64))], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "tk", "source")], pa.array(np.diff(textscan.words(flat, at)[2]).astype(np.int64))], names=["doc_id", "tk", "source", "size"])
 
-    return texts_of(docs, "source").mapInArrow(scan, "doc_id long, source string, size long")
+    return texts_of(docs, "source").withColumn("tk", row_key("text", "source")).mapInArrow(scan, "doc_id long, tk long, source string, size long")
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> list[float]:
@@ -95,24 +99,16 @@ def plan_blocks(blocks: dict[int, np.ndarray], target: list[float], shards: int,
     return rows, {s: left for s, (_, left) in edge.items()}
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source): its words, its source's words and target, the
-    words taken and the output shard of each copy taken.
-
-    Sources in code-point order, null last, weigh ``weights`` repeating. In a source's one boundary block
-    the largest documents that still fit are taken first, so that a source misses its target by less than
-    its smallest documents. Null or empty texts have size 0. Rows of one doc_id count each. The number of
-    sources must suit the driver; a source has at most MAX_BLOCKS blocks, whatever its size. Runs agree,
-    whatever the order of rows. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    sizes = checkpointed(document_sizes(docs))
+def planned(sizes: DataFrame, weights: tuple[float, ...], cap: int, shards: int | None, seed: int) -> tuple[DataFrame, int, int]:
+    """MIX_SCHEMA for each row of ``sizes`` (doc_id, tk, source, size; checkpointed), the number of shards and of all words."""
+    spark = sizes.sparkSession
     found = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
+    total = sum(r["size"] for r in found)
+    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, total // SHARD_WORDS))
     if not found:
-        return spark.createDataFrame([], MIX_SCHEMA)
+        return spark.createDataFrame([], MIX_SCHEMA), shards, 0
     target = targets([r["size"] for r in found], weights, cap)
-    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, sum(r["size"] for r in found) // SHARD_WORDS))
     n_blocks = [max(1, min(MAX_BLOCKS, -(-r["size"] // BLOCK_WORDS))) for r in found]
     named = spark.createDataFrame([(i, r.source, r["size"], t, b) for i, (r, t, b) in enumerate(zip(found, target, n_blocks, strict=True))], "s int, name string, source_size long, target double, n_blocks int")
     placed = sizes.join(named, F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).cast("int")).drop("name", "n_blocks")
@@ -123,26 +119,54 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     plan = spark.createDataFrame(rows, "s int, block int, shards array<int>, edge boolean")
     both = placed.join(plan, ["s", "block"])
     whole = both.where(~F.col("edge")).withColumn("taken", F.col("size") * F.size("shards"))
+    edge = checkpointed(both.where("edge"))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in edge.groupBy("s", "size").count().collect():
+        counts.setdefault(r.s, []).append((r["size"], r["count"]))
+    quotas = spark.createDataFrame([(s, size, n) for s, c in counts.items() for size, n in fitting(c, wanted.get(s, 0))], "s int, size long, fits long")
+    # of the documents of one size as many as fit, in the order of a hash; empty ones always do
+    order = Window.partitionBy("s", "size").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tk")
+    ranked = edge.where("size > 0").withColumn("n", F.row_number().over(order)).join(quotas, ["s", "size"])
+    part = ranked.withColumn("shards", F.when(F.col("n") <= F.col("fits"), F.col("shards")).otherwise(F.expr("slice(shards, 1, size(shards) - 1)")))
+    part = part.select(*edge.columns).unionByName(edge.where("size = 0")).withColumn("taken", F.col("size") * F.size("shards"))
+    columns = [f.split()[0] for f in MIX_SCHEMA.split(", ")]
+    return whole.select(*columns).unionByName(part.select(*columns)), shards, total
+def fitting(counts: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """How many documents of each size go into ``room`` words, the largest that still fit first."""
+    out = []
+    for size, n in sorted(counts, reverse=True):
+        taken = min(n, room // size) if size else n
+        room -= taken * size
+        out.append((size, taken))
+    return out
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        left, n = wanted[int(key[0])], []
-        for size in part["size"]:
-            fits = size <= left
-            left -= size if fits else 0
-            n.append(fits)
-        kept = [list(s) if f else list(s)[:-1] for s, f in zip(part["shards"], n, strict=True)]
-        return part.assign(shards=kept, taken=[len(k) * s for k, s in zip(kept, part["size"], strict=True)])[[*columns]]
 
-    columns = [f.split()[0] for f in MIX_SCHEMA.split(", ")]
-    part = both.where("edge").withColumn("h", F.xxhash64("doc_id", F.lit(seed + 1)))
-    return whole.select(*columns).unionByName(part.groupBy("s").applyInPandas(fit, MIX_SCHEMA))
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text, source): its words, its source's words and target, the
+    words taken and the output shard of each copy taken.
+
+    Sources in code-point order, null last, weigh ``weights`` repeating. In a source's one boundary block
+    the largest documents that still fit are taken first, so that a source misses its target by less than
+    its smallest documents. Null or empty texts have size 0. Rows of one doc_id, or of none, count each. Very long
+    texts are counted alone, one at a time. Further columns are ignored. The driver holds the sizes of at most
+    MAX_BLOCKS blocks a source, and how often each size occurs in the boundary block, whose number of different sizes grows with the
+    root of its words; the number of sources must suit it. Runs agree, whatever the order of rows. An empty table gives no rows.
+    """
+    return planned(checkpointed(document_sizes(docs)), weights, cap, shards, seed)[0].drop("tk")
 
 
-def mixed_rows(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, once for each copy taken, with their ``shard``; a shard's rows stand together, shuffled.
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, once for each copy that the mix takes, with all their columns.
 
-    ``mix`` is the result of ``mix_sources`` for these rows; doc_id must name a row.
+    A shard's rows stand together, cut into slices of at most about SHARD_WORDS words, a partition each, and shuffled within
+    them. Rows equal in doc_id, text and source are taken equally often, as one item of their common size.
     """
-    taken = mix.select("doc_id", F.explode("shards").alias("shard"))
-    return docs.join(taken, "doc_id").repartition("shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "shard", F.lit(seed)), "doc_id")
+    items = checkpointed(document_sizes(docs).groupBy("doc_id", "tk", "source").agg(F.sum("size").alias("size")))
+    mix, shards, total = planned(items, weights, cap, shards, seed)
+    slices = max(1, -(-total // (shards * SHARD_WORDS)), -(-partitions(docs.sparkSession) // shards))
+    key = F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none")
+    taken = mix.select(*key, "tk", F.explode("shards").alias("shard"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), row_key("text", "source").alias("tk"))
+    out = rows.join(taken, ["d", "none", "tk"]).withColumn("h", F.xxhash64("d", "tk", "shard", F.lit(seed)))
+    out = out.withColumn("slice", (F.col("shard") * slices + F.pmod("h", F.lit(slices))).cast("int"))
+    return out.repartitionById(shards * slices, "slice").sortWithinPartitions("slice", "h", "d").select("row.*")
