@@ -164,7 +164,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         elif name == "near_duplicates":
             assert read() == {i: before[i] for i in plain_representatives(before)} and docs.count() == len(read())
         elif name == "repeated_passages":
-            assert read() == {i: t for i, t in plain_removal(before, 400).items() if words(t)}
+            assert read() == {i: t for i, t in plain_removal(before, p.PASSAGE_BYTES).items() if words(t)}
             assert all(r.n_chars == len(r.text) for r in docs.collect())
         elif name == "mixing":
             sizes, taken = Counter(), Counter()
@@ -197,3 +197,42 @@ def test_pipeline_returns_decoded_texts(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 4 = 0")
     want = {r.doc_id: sha256(library.decode(library.encode(r.text or "")).encode()).hexdigest() for r in docs.collect()}
     assert len(want) > 20 and {r.doc_id: r.decoded_sha256 for r in p.tokens(spark, docs, SMALL).collect()} == want
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids, one id for several texts, repeated rows, null and empty texts: rows go only where a stage says so."""
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"w{k}n{j}" for j in range(70)) + "."
+    rows = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(4)), (2, text(5)), (2, text(5)), (3, text(5) + " tail"), (4, None), (5, ""), (6, "short")]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 2 else "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    none = f"{SMALL}/none"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    from spanloom.llm import quality_rules
+
+    kept = quality_rules.accepted(docs, labels)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows[:7])
+    near = p.near_duplicates(spark, docs, none)
+    assert sorted((r.doc_id or 0, r.text or "") for r in near.collect()) == sorted((i or 0, t or "") for i, t in [*rows[:5], *rows[7:]])
+    clean = p.repeated_passages(spark, near, none)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in [*rows[:5], rows[9]])
+    mixed = Counter((r.doc_id, r.text) for r in p.mixing(spark, clean, none).collect())
+    assert mixed.keys() <= {(i, t) for i, t in rows} and max(mixed.values()) <= 3
+    empty = docs.where("false")
+    for stage in (p.near_duplicates, p.repeated_passages, p.mixing, p.tokens):
+        assert stage(spark, empty, none).count() == 0
+
+
+def test_pipeline_removes_planted_passages(spark):
+    """Passages of 51 to 80 words in two documents each are gone from both; documents without any stay as they are."""
+    import corpus_pipeline as p
+
+    r = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(2, 10))))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passages = [say(int(r.integers(51, 81))) for _ in range(40)]
+    texts = [f"{say(60)} {passages[k % 40]} {say(60)}" for k in range(80)] + [say(150) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {d.doc_id: d.text for d in p.repeated_passages(spark, docs, "").collect()}
+    assert sum(passages[k % 40][20:-20] in got[k] for k in range(80)) == 0
+    assert all(got[k] == texts[k] for k in range(80, 120))

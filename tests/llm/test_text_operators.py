@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import bwt_repeats, jaccard_join, language_id, quality_classifier, quality_rules, sentencepiece_bpe, source_mixing, substring_dedup, suffix_dedup, textscan
 
@@ -280,3 +281,48 @@ def test_mixing(docs, empty):
     again = Counter((r.doc_id, r.taken, tuple(r.shards)) for r in source_mixing.mix_sources(docs.repartition(3)).collect())
     assert again == Counter((r.doc_id, r.taken, tuple(r.shards)) for r in rows)
     assert source_mixing.mix_sources(empty).count() == 0
+
+
+def plain_mix(rows, seed=17):
+    """op8's draw replayed in plain Python from the plan of blocks: rows (doc_id, tk, source, size) to copies taken."""
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(r[3] for r in rows if r[2] == s) for s in order}
+    target = source_mixing.targets([sizes[s] for s in order])
+    blocks = {i: np.array([sum(r[3] for r in rows if r[2] == s)], np.int64) for i, s in enumerate(order)}
+    plan, wanted = source_mixing.plan_blocks(blocks, target, 16, seed)
+    out = {}
+    for s, _, shards, edge in plan:
+        left = wanted.get(s, 0)
+        for r in sorted((r for r in rows if r[2] == order[s]), key=lambda r: -r[3]):
+            fits = not edge or r[3] <= left
+            left -= r[3] if edge and fits else 0
+            out.setdefault((order[s], r[3]), []).append(len(shards) - (not fits))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_mixing_equals_a_plain_replay(spark, docs):
+    """Every source here is one block, so what is taken of each size follows from the plan alone."""
+    rows = [(r.doc_id, 0, r.source, len(WORD.findall(r.text or ""))) for r in docs.collect()]
+    got = {}
+    for r in source_mixing.mix_sources(docs).collect():
+        got.setdefault((r.source, r.size), []).append(len(r.shards))
+    assert {k: sorted(v) for k, v in got.items()} == plain_mix(rows)
+
+
+def test_mixed_documents_keep_rows(spark, docs, empty):
+    """Copies of one row are taken together, rows of null id take part, and columns of clashing names stay."""
+    rows = docs.withColumn("doc_id", F.expr("case when doc_id % 4 = 0 then null else doc_id end")).withColumnRenamed("words", "shard")
+    got = source_mixing.mixed_documents(rows)
+    assert got.columns == rows.columns
+    taken = Counter((r.doc_id, r.text, r.source, r.shard) for r in got.collect())
+    have = Counter((r.doc_id, r.text, r.source, r.shard) for r in rows.collect())
+    assert taken.keys() <= have.keys() and all(taken[k] % n == 0 and taken[k] <= 3 * n for k, n in have.items())
+    assert any(k[0] is None for k in taken) and source_mixing.mixed_documents(empty).count() == 0
+
+
+def test_accepted_equals_the_rules(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, quality int")
+    kept = Counter(r.doc_id for r in quality_rules.apply_rules(docs, labels).where("kept").collect())
+    got = quality_rules.accepted(docs, labels)
+    assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == kept
+    assert quality_rules.accepted(empty, labels).count() == 0
