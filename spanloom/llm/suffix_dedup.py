@@ -3,7 +3,7 @@
 Anchors find the segments of text that may hold such strings; equal segments are one class from the
 start. The distinct segments of an anchor meet in one block, whose suffix array and Burrows-Wheeler
 transform yield the repeated strings (``bwt_repeats``). Anchors with more distinct text than a block holds
-are resolved by halving: windows are compared by what all of a range of them share, range by range.
+are cut finer, by what all windows of a range share, until they fit a block.
 """
 
 from __future__ import annotations
@@ -137,11 +137,11 @@ HALF = "h long, c long, cnt long, n int, o int, data binary, blk int, j0 int, j1
 
 
 def resolve_hot(pieces: DataFrame, length: int) -> DataFrame:
-    """RUNS of distinct segments of anchors with very many of them.
+    """RUNS of distinct segments of anchors with more text than a block holds, by cutting the anchors finer until blocks do hold them.
 
-    A window is named by its distance j before the anchor. For a range of j, windows can only be equal if
-    the bytes that all of the range share ("core") are; where all of a segment's windows in the range ("ext")
-    equal another's they are repeated. Other ranges are halved, down to single windows.
+    A window is named by its distance j before the anchor. Windows of a range of j can only be equal if the bytes that all
+    of the range share ("core") are, so range and core make an anchor of their own, and a segment's windows in the range ("ext") a
+    segment of it. Such anchors that fit go to the transform like all others; the rest are halved, at last to single windows.
     """
     top = 1
     while top * 2 <= length // 2:
@@ -167,14 +167,22 @@ def resolve_hot(pieces: DataFrame, length: int) -> DataFrame:
         return work
 
     now, size, out = pieces.mapInArrow(ranges(top, False), HALF), top, []
+    held = F.expr(f"substring(data, o - j1 + 1, j1 - j0 + {length})")
     while True:
         now = checkpointed(now)
-        cores = now.groupBy("h", "blk", "core").agg(F.sum("cnt").alias("m")).where("m > 1").drop("m")
-        exts = now.groupBy("h", "blk", "ext").agg(F.sum("cnt").alias("m"), F.min("c").alias("one")).where("m > 1")
-        both = now.join(cores, ["h", "blk", "core"], "left_semi").join(exts, ["h", "blk", "ext"], "left")
-        out.append(both.where("m is not null").select("h", "c", (F.col("o") - F.col("j1")).alias("lo"), (F.col("o") - F.col("j0") + 1).alias("hi")))
-        if size == 1:
+        cores = now.groupBy("h", "blk", "core").agg(F.sum("cnt").alias("m"), F.sum(F.col("j1") - F.col("j0") + length).alias("bytes")).where("m > 1")
+        live = now.join(cores.select("h", "blk", "core", (F.lit(size == 1) | (F.col("bytes") <= MOST_BYTES)).alias("fits")), ["h", "blk", "core"])
+        small = checkpointed(live.where("fits").withColumn("h2", F.xxhash64("h", "blk", "core")))
+        parts = small.groupBy("h2", "ext").agg(F.sum("cnt").alias("cnt"), F.first(held).alias("data"), F.first(F.col("j1") - F.col("j0") + 1).alias("n"))
+        runs = resolve_blocks(parts.select(F.col("h2").alias("h"), F.col("ext").alias("c"), "cnt", "n", "data"), length).select(F.col("h").alias("h2"), F.col("c").alias("ext"), F.explode("runs").alias("run"))
+        first = F.col("o") - F.col("j1")
+        out.append(small.join(runs, ["h2", "ext"]).select("h", "c", (first + F.col("run.lo")).alias("lo"), (first + F.col("run.hi")).alias("hi")))
+        big = live.where("not fits").drop("fits")
+        if size == 1 or big.isEmpty():
             break
+        exts = big.groupBy("h", "blk", "ext").agg(F.sum("cnt").alias("m"), F.min("c").alias("one")).where("m > 1")
+        both = big.join(exts, ["h", "blk", "ext"], "left")
+        out.append(both.where("m is not null").select("h", "c", first.alias("lo"), (F.col("o") - F.col("j0") + 1).alias("hi")))
         size //= 2
         # one of each group of equals goes on where others of the same core do
         rest = both.where("m is null").drop("m", "one")

@@ -148,9 +148,9 @@ def plain_removal(units, length):
     return out
 
 
-@pytest.mark.parametrize("most", [1 << 20, 200])
+@pytest.mark.parametrize("most", [1 << 20, 1500, 200])
 def test_suffix_dedup(spark, docs, empty, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", most)  # 200: nearly all anchors go the way of hot ones
+    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", most)  # 200, 1500: most anchors go the way of hot ones, all the way or some of it
     rows = docs.collect()
     data = [(r.text or "").encode() for r in rows]
     want = Counter()
