@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.lineage import checkpointed
+
 # The fault catalogue, id to name, category and base confidence of a finding.
 FAULTS = (
     ("F1", "Goal drift", "planning", 0.88), ("F2", "Plan omission", "planning", 0.0), ("F3", "Action loop", "planning", 0.78), ("F4", "Execution crash", "tool", 0.98),
@@ -27,32 +29,86 @@ def with_parent(spans: DataFrame) -> DataFrame:
     return out.withColumn("is_root", F.col("_known").isNull() | (F.col("parent_id") == F.col("span_id"))).drop("_known")
 
 
+def jumps(spans: DataFrame) -> list[DataFrame]:
+    """Pointers (trace_id, span_id, up) to the 1st, 2nd, 4th, ... ancestor, each table written once, until no span has one.
+
+    Each doubles the one before. After as many as the spans of the largest trace allow, only spans that lead into a
+    cycle still have a pointer; these are the rows of a last table, which is empty for forests.
+    """
+    now = checkpointed(spans.where("parent_id is not null and parent_id != span_id").select("trace_id", "span_id", F.col("parent_id").alias("up")))
+    longest = now.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    out, k = [now], 1
+    while k <= longest:
+        higher = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_next"))
+        now = checkpointed(now.join(higher, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_next").alias("up")))
+        out.append(now)
+        if now.isEmpty():
+            break
+        k *= 2
+    return out
+
+
 def ancestors(spans: DataFrame) -> DataFrame:
-    """All (trace_id, span_id, ancestor_id, dist) of the forest; a cycle ends where it closes."""
-    return spans.sparkSession.sql(
-        """
-        WITH RECURSIVE up(trace_id, span_id, ancestor_id, dist, path) AS (
-          SELECT trace_id, span_id, parent_id, 1, array(span_id) FROM {spans} WHERE parent_id IS NOT NULL AND parent_id != span_id
-          UNION ALL
-          SELECT up.trace_id, up.span_id, s.parent_id, up.dist + 1, array_append(up.path, up.ancestor_id)
-          FROM up JOIN {spans} s ON s.trace_id = up.trace_id AND s.span_id = up.ancestor_id
-          WHERE s.parent_id IS NOT NULL AND NOT array_contains(array_append(up.path, up.ancestor_id), s.parent_id)
-        )
-        SELECT trace_id, span_id, ancestor_id, dist FROM up
-        """,
-        spans=spans.select("trace_id", "span_id", "parent_id"),
-    )
+    """All (trace_id, span_id, ancestor_id, dist) of the forest; a cycle ends where it closes.
+
+    The closure doubles its reach with every join, so that the rounds grow with the logarithm of the depth. Rows are
+    as many as the depths of all spans together; ``nearest_ancestor`` and ``descendants_count`` do without them.
+    """
+    steps = jumps(spans)
+    return _closure(steps[0].withColumnRenamed("up", "ancestor_id").withColumn("dist", F.lit(1)), steps, not steps[-1].isEmpty())
+
+
+def _closure(now: DataFrame, steps: list[DataFrame], cyclic: bool) -> DataFrame:
+    for i, step in enumerate(steps[:-1]):
+        far = step.withColumnRenamed("span_id", "low").join(now.withColumnRenamed("span_id", "up"), ["trace_id", "up"]).select("trace_id", F.col("low").alias("span_id"), "ancestor_id", (F.col("dist") + (1 << i)).alias("dist"))
+        now = now.unionByName(far)
+        if cyclic:
+            now = now.where("span_id != ancestor_id").groupBy("trace_id", "span_id", "ancestor_id").agg(F.min("dist").alias("dist"))
+        now = checkpointed(now)
+    return now
 
 
 def nearest_ancestor(spans: DataFrame, value: Column, name: str) -> DataFrame:
-    """For each span with one, the nearest ancestor where ``value`` isn't blank, as ``name``, and its distance."""
-    held = spans.select("trace_id", F.col("span_id").alias("ancestor_id"), value.alias(name)).where(F.trim(name) != "")
-    return ancestors(spans).join(held, ["trace_id", "ancestor_id"]).groupBy("trace_id", "span_id").agg(F.min_by(name, "dist").alias(name), F.min("dist").alias("dist"))
+    """For each span with one, the nearest ancestor where ``value`` isn't blank, as ``name``, and its distance.
+
+    Every span looks as far up as its pointer reaches; each round doubles that for those that have found nothing.
+    """
+    rows = spans.select("trace_id", "span_id", F.when(F.col("parent_id") != F.col("span_id"), F.col("parent_id")).alias("up"), value.alias("_own")).distinct()
+    held = rows.where(F.trim("_own") != "").select("trace_id", F.col("span_id").alias("up"), F.col("_own").alias(name))
+    # what the spans' first ancestor says, and where to look next
+    known = rows.where("up is not null").select("trace_id", "span_id", "up").distinct().join(held, ["trace_id", "up"], "left")
+    now = checkpointed(known.select("trace_id", "span_id", "up", name, F.when(F.col(name).isNotNull(), 1).alias("dist")))
+    longest, k = now.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0, 1
+    while True:
+        open_ = now.where(F.col(name).isNull())
+        if k > longest or open_.isEmpty():
+            return now.where(F.col(name).isNotNull()).groupBy("trace_id", "span_id").agg(F.min_by(name, "dist").alias(name), F.min("dist").alias("dist"))
+        above = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col(name).alias("_name"), F.col("dist").alias("_dist"))
+        found = open_.join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), F.col("_name").alias(name), (F.col("_dist") + k).alias("dist"))
+        now = checkpointed(now.where(F.col(name).isNotNull()).unionByName(found))
+        k *= 2
 
 
 def descendants_count(spans: DataFrame) -> DataFrame:
-    """Number of descendants of each span that has any."""
-    return ancestors(spans).groupBy("trace_id", F.col("ancestor_id").alias("span_id")).agg(F.count("*").alias("descendants"))
+    """Number of descendants of each span that has any.
+
+    Counts down to 2k levels are counts down to k levels plus those of the descendants k levels below. Only traces with a
+    cycle need the closure itself, as a descendant may be met twice there.
+    """
+    steps = jumps(spans)
+    bad = steps[-1].select("trace_id").distinct()
+    cyclic = not steps[-1].isEmpty()
+    fine = [s.join(bad, "trace_id", "left_anti") for s in steps] if cyclic else steps
+    now = fine[0].groupBy("trace_id", F.col("up").alias("span_id")).agg(F.count("*").alias("descendants"))
+    for step in fine[:-1]:
+        now = checkpointed(now)
+        below = step.join(now, ["trace_id", "span_id"]).select("trace_id", F.col("up").alias("span_id"), "descendants")
+        now = now.unionByName(below).groupBy("trace_id", "span_id").agg(F.sum("descendants").alias("descendants"))
+    if not cyclic:
+        return now
+    odd = [s.join(bad, "trace_id", "left_semi") for s in steps]
+    closure = _closure(odd[0].withColumnRenamed("up", "ancestor_id").withColumn("dist", F.lit(1)), odd, True)
+    return now.unionByName(closure.groupBy("trace_id", F.col("ancestor_id").alias("span_id")).agg(F.count("*").alias("descendants")))
 
 
 def repeated_attempts(spans: DataFrame, least: int = 3) -> DataFrame:
