@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SALIENCY = {"Error": 5.2, "Conclusion": 5.0, "Intent": 4.0, "Fact": 3.2, "Action": 3.0, "Planning": 2.5}
 PRUNING_BONUS = {"Conclusion": 5.0, "Error": 4.8, "Intent": 3.5, "Fact": 3.2, "Action": 2.8, "Planning": 2.4}
 EDGE_COST = {"Temporal": 1.3, "Call": 0.95, "Retry": 0.85, "AgentSpawn": 0.7, "Observation": 0.65, "SubagentReturn": 0.55, "Cognitive": 0.5}
-CAUSAL_CONFIDENCE = {"SemanticValidation": 0.98, "SemanticOrigin": 0.98, "SemanticPropagation": 0.95, "SubagentReturn": 0.95, "AgentSpawn": 0.92, "SemanticRejection": 0.92, "Cognitive": 0.9, "reasoning_dependency": 0.9, "Observation": 0.85, "Call": 0.75, "EvidenceExposure": 0.72, "Retry": 0.7, "Temporal": 0.25}
+CAUSAL_CONFIDENCE = {"SemanticValidation": 0.98, "SemanticOrigin": 0.98, "SemanticPropagation": 0.95, "SubagentReturn": 0.95, "AgentSpawn": 0.92, "SemanticRejection": 0.92, "Cognitive": 0.9, "reasoning_dependency": 0.9, "Observation": 0.85, "Call": 0.75, "EvidenceExposure": 0.72, "Retry": 0.7, "Temporal": 0.25, "answer_dependency": 1.0, "tool_observation_dependency": 0.85, "data_dependency": 0.8, "control_flow": 0.35, "same_step_neighbor": 0.2}
 CLASS_COST = {"answer": 0.25, "validation": 0.30, "reasoning": 0.45, "tool_observation": 0.55, "data": 0.60, "control_flow": 1.35, "same_step_neighbor": 1.8}
 SEVERITY = {"HIGH": 1.0, "MEDIUM": 0.6, "LOW": 0.25}
 
@@ -38,15 +38,17 @@ def edge_cost(kind: Column, score: Column) -> Column:
 
 
 def causal_confidence(kind: Column, score: Column) -> Column:
-    """Confidence that an edge carries a cause; fixed for temporal edges and where there is no score."""
+    """Confidence that an edge carries a cause; fixed for edges that only tell of order, and where there is no score."""
     base = of(CAUSAL_CONFIDENCE, kind, 0.5)
-    return F.when((kind == "Temporal") | (F.coalesce(score, F.lit(0.0)) <= 0), base).otherwise(0.75 * base + 0.25 * clamp(score))
+    return F.when(kind.isin("Temporal", "control_flow", "same_step_neighbor") | (F.coalesce(score, F.lit(0.0)) <= 0), base).otherwise(F.greatest(F.lit(0.05), 0.75 * base + 0.25 * clamp(score)))
 
 
 def dependency_class(kind: Column, target_type: Column) -> Column:
-    """What sort of dependency an edge is."""
+    """What sort of dependency an edge is; a type that names its sort keeps it."""
+    named = F.regexp_replace(kind, "_dependency$", "")
     return (
-        F.when(kind.isin("Cognitive", "SemanticPropagation"), F.when(target_type == "Conclusion", "answer").otherwise("reasoning"))
+        F.when(kind.isin("control_flow", "same_step_neighbor") | (kind != named), named)
+        .when(kind.isin("Cognitive", "SemanticPropagation"), F.when(target_type == "Conclusion", "answer").otherwise("reasoning"))
         .when(kind == "Observation", "tool_observation").when(kind.isin("Call", "AgentSpawn", "SemanticOrigin"), "data")
         .when(kind.isin("SubagentReturn", "Retry", "reasoning_dependency"), "reasoning").when(kind == "SemanticValidation", "validation")
         .when(kind == "Temporal", "same_step_neighbor").otherwise("control_flow")

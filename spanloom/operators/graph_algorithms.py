@@ -10,6 +10,7 @@ import hashlib
 import heapq
 import random
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,19 +122,19 @@ class Budget:
     def add(self, keys: list[int]) -> bool:
         """Takes all keys if they fit, else none."""
         fresh = [k for k in dict.fromkeys(keys) if k not in self.taken]
-        size = sum(len(self.graph.nodes[k]["content"] or "") for k in [*self.taken, *fresh])
+        size = sum(self.graph.nodes[k]["size"] for k in [*self.taken, *fresh])
         if len(self.taken) + len(fresh) > self.most or size > self.room:
             return False
         self.taken |= dict.fromkeys(fresh)
         return True
 
 
-def k_shortest(g: Graph, b: Budget) -> None:
-    """The two cheapest paths from each of the twelve foremost anomalies to an outcome, while they fit."""
+def k_shortest(g: Graph, b: Budget, sources: int = 12) -> None:
+    """The two cheapest paths from each of the foremost anomalies to an outcome, while they fit."""
     goals = g.anchors()
     for k in goals:
         b.add([k])
-    for source in g.anomalies(12):
+    for source in g.anomalies(sources):
         for _, path in g.paths(source, set(goals), 2):
             b.add(path)
 
@@ -166,15 +167,9 @@ def steiner(g: Graph, b: Budget) -> None:
             b.add(way[1])
 
 
-def _words(g: Graph) -> dict[int, set[str]]:
-    import re
-
-    return {k: set(re.findall(text.TOKEN, (n["content"] or "").lower())) - set(text.STOP_WORDS) for k, n in g.nodes.items()}
-
-
 def submodular(g: Graph, b: Budget) -> None:
     """Greedy by gain per character: prize and links to what is taken, less likeness to it."""
-    words, open_ = _words(g), list(g.nodes)
+    words, open_ = {k: set(n["words"]) for k, n in g.nodes.items()}, list(g.nodes)
     likeness = dict.fromkeys(open_, 0.0)
     links = dict.fromkeys(open_, 0)
     for goal in g.anchors():
@@ -188,7 +183,7 @@ def submodular(g: Graph, b: Budget) -> None:
                 likeness[k] = max(likeness[k], len(words[k] & words[t]) / union if union else 0.0)
                 links[k] += (t in g.out[k]) + (k in g.out[t])
         open_ = [k for k in open_ if k not in b.taken]
-        gain = lambda k: (g.prize(k) + min(2.0, 0.4 * links[k]) + (1.0 if k in reaches else 0.0) - 0.7 * likeness[k]) / max(20, len(g.nodes[k]["content"] or ""))
+        gain = lambda k: (g.prize(k) + min(2.0, 0.4 * links[k]) + (1.0 if k in reaches else 0.0) - 0.7 * likeness[k]) / max(20, g.nodes[k]["size"])
         best = max(open_, key=lambda k: (gain(k), -g.order[k]), default=None)
         if best is None:
             return
@@ -206,11 +201,13 @@ def random_budget(g: Graph, b: Budget) -> None:
 
 
 STRATEGIES: dict[str, Callable[[Graph, Budget], None]] = {"k_shortest": k_shortest, "dominators": dominators, "steiner": steiner, "submodular": submodular, "random_budget": random_budget}
+VARIANTS = STRATEGIES | {"k_shortest_10": partial(k_shortest, sources=10)}
 
 
 def per_trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row for each trace with its nodes and edges, dealt over all shuffle partitions, as what follows is Python work."""
-    n = nodes.groupBy("trace_id").agg(F.collect_list(F.struct("node_id", "ord", "type", "content", "saliency")).alias("nodes"))
+    """A row for each trace with its nodes and edges, dealt over all shuffle partitions, as what follows is Python work. Of texts only size and words are in it."""
+    t = F.coalesce("content", F.lit(""))
+    n = nodes.groupBy("trace_id").agg(F.collect_list(F.struct("node_id", "ord", "type", F.length(t).alias("size"), F.array_distinct(text.tokens(t)).alias("words"), "saliency")).alias("nodes"))
     e = edges.select("trace_id", F.struct("source", "target", numbers.edge_cost(F.col("edge_type"), F.col("score")).alias("cost")).alias("e")).groupBy("trace_id").agg(F.collect_list("e").alias("edges"))
     return spread(n.join(e, "trace_id", "left"))
 
@@ -222,9 +219,9 @@ def spread(traces: DataFrame) -> DataFrame:
 
 def prune(nodes: DataFrame, edges: DataFrame, strategy: str, most: int = 80, room: int = 14_000) -> DataFrame:
     """Nodes that a strategy keeps of each trace (trace_id, node_id, place), within the budgets."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
-    choose = STRATEGIES[strategy]
+    if strategy not in VARIANTS:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(VARIANTS)}")
+    choose = VARIANTS[strategy]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

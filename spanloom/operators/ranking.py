@@ -67,7 +67,7 @@ def rank_trace(nodes: list[dict], edges: list[dict], most: int = 12, longest: in
 
 def root_causes(nodes: DataFrame, typed: DataFrame) -> DataFrame:
     """RANKED rows of every trace, from nodes with saliency and ``graph.typed_edges``."""
-    n = nodes.groupBy("trace_id").agg(F.collect_list(F.struct("node_id", "ord", "type", "content", "saliency")).alias("nodes"))
+    n = nodes.groupBy("trace_id").agg(F.collect_list(F.struct("node_id", "ord", "type", "saliency")).alias("nodes"))
     e = typed.groupBy("trace_id").agg(F.collect_list(F.struct("source", "target", "edge_type", "confidence", "dependency", "causal_cost")).alias("edges"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
