@@ -40,21 +40,14 @@ def stable_id(*parts: Column) -> Column:
 
 
 def balanced(text: str) -> str | None:
-    """The first balanced object in a text; braces within strings don't count."""
-    start = text.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        ch = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            quoted, skip = ch != '"', ch == "\\"
-        elif ch == '"':
-            quoted = True
-        elif ch in "{}":
-            depth += 1 if ch == "{" else -1
-            if not depth:
-                return text[start : i + 1]
+    """The first object in a text that parses as JSON."""
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"\{", text):
+        try:
+            _, end = decoder.raw_decode(text, m.start())
+        except ValueError:
+            continue
+        return text[m.start() : end]
     return None
 
 
@@ -99,5 +92,7 @@ def messages(text: Column) -> Column:
 
 
 def message_text(message: Column) -> Column:
-    """Text of a message: its content, or its parts' contents in lines."""
-    return F.coalesce(message["content"], F.array_join(F.transform(message["parts"], lambda p: p["content"]), "\n"), F.lit(""))
+    """Text of a message: its content and its parts' contents, in lines."""
+    own = F.array_compact(F.array(message["content"]))
+    parts = F.array_compact(F.transform(F.coalesce(message["parts"], F.array().cast("array<struct<content:string>>")), lambda p: p["content"]))
+    return F.array_join(F.concat(own, parts), "\n")

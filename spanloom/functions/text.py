@@ -133,12 +133,95 @@ def dates(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.concat_ws("-", p[0], F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0"))))
 
 
-def signatures(text: Column) -> Column:
-    """What marks a result: quantities with units and short lines that aren't headings, at most once each."""
+# Units of measures, and headings of results that carry no fact.
+MEASURE = r"(?i)(?<![\p{L}\p{N}_])[<>]?\d+(?:\.\d+)?\s*(?:℃|°C|%|级|km|m|kg|g|ms|s|秒|分钟|小时|元|美元|MB|GB)"
+HEADING = r"(?i)^(?:URL|Status|Title|Provider|Content|Query|Source):"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def fact_signatures(text: Column) -> Column:
+    """What marks a result, without white space, once each: measures with their units, and short lines with a letter that aren't headings."""
+    t = F.coalesce(text, F.lit(""))
+    dense = lambda x: F.regexp_replace(x, r"\s+", "")
+    measures = F.transform(F.regexp_extract_all(t, F.lit(MEASURE), 0), dense)
+    lines = F.transform(F.split(t, LINE_END), lambda x: strip(F.regexp_replace(x, r"[*#|]", "")))
+    short = F.filter(lines, lambda x: F.length(x).between(2, 24) & ~x.rlike(HEADING) & x.rlike(r"[\u4e00-\u9fffA-Za-z]"))
+    return F.array_distinct(F.concat(measures, F.transform(short, dense)))
+
+
+def opaque_arguments(arguments: Column, url: Column) -> Column:
+    """Identifiers among a call's arguments that can't be guessed: long parts of its URL, and values of id-like keys."""
+    parts = F.filter(F.regexp_extract_all(url, F.lit(r"(?<=[/=])([A-Za-z0-9_-]{7,})(?=[/?#.&]|$)"), 1), lambda x: x.rlike(r"\d") | (F.length(x) >= 16))
+    pairs = F.map_entries(F.coalesce(F.from_json(arguments, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    held = F.transform(F.filter(pairs, lambda e: e["key"].rlike(r"(?i)(?:^|_)(?:id|code|key|path|resource)(?:$|_)") & e["value"].rlike(r"^[A-Za-z0-9_-]{7,}$")), lambda e: e["value"])
+    return F.array_distinct(F.concat(parts, held))
+
+
+def task_terms(text: Column) -> Column:
+    """What a task is about: objects of its verbs, and words in quotation marks."""
     t = F.coalesce(text, F.lit(""))
-    measures = F.regexp_extract_all(t, F.lit(r"\d+(?:\.\d+)?\s?(?:%|ms|km|kg|GB|MB|KB|USD|EUR)"), 0)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: strip(x)), lambda x: F.length(x).between(2, 24) & ~x.rlike(r"[:：#]$|^#"))
-    return F.array_distinct(F.concat(measures, lines))
+    verbs = r"(?:查询|搜索|查看|获取|分析|读取|比较|检查|打开|下载|调用|验证)([\u4e00-\u9fffA-Za-z0-9_-]{2,16}?)(?:今天|今日|当前|的|数据|信息|情况|文件|网页|页面|报告|内容|结果|$)"
+    quoted = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"[\"“]([^\"”]{2,40})[\"”]"), 1), lambda q: F.regexp_extract_all(q, F.lit(r"[\u4e00-\u9fff]{2,8}|[A-Za-z][A-Za-z0-9_-]{2,}"), 0)))
+    return F.array_distinct(F.filter(F.concat(F.regexp_extract_all(t, F.lit(verbs), 1), quoted), lambda x: ~x.isin("相关", "详细", "一下", "一下子")))
+
+
+# Words without meaning when a trace's nodes are compared with its outcome.
+LEXICAL_STOP = ("the", "and", "for", "with", "that", "this", "from", "into", "then", "have", "has", "had", "will", "need", "tool", "args", "params", "output", "input", "message", "step", "final", "answer")
+
+
+def lexical_tokens(text: Column) -> Column:
+    """Lower-cased tokens, paths in one piece, once each."""
+    stop = F.array(*[F.lit(w) for w in LEXICAL_STOP])
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9_\-/]{3,}"), 0), F.lower)
+    return F.array_distinct(F.filter(found, lambda x: ~F.array_contains(stop, x)))
+
+
+def overlap_coefficient(a: Column, b: Column) -> Column:
+    """Common tokens over those of the smaller set, 0 if the second is empty."""
+    return F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.least(F.size(a), F.size(b)))).otherwise(F.lit(0.0))
+
+
+def path_parts(text: Column) -> Column:
+    """Nodes of a causal path written as ``a -> b``, ``a, b`` or ``a b``, blank ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"->|→|,|\s+"), strip), lambda x: x != "")
+
+
+def id_list(text: Column) -> Column:
+    """Ids of a list with commas, once each in order, blank ones left out."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda x: x != ""))
+
+
+def dumped(value: Column, most: int) -> Column:
+    """A value as JSON of at most ``most`` characters, the cut marked."""
+    t = F.to_json(value)
+    return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("...[truncated]"))).otherwise(t)
+
+
+def stringified(value: Column, kind: str) -> Column:
+    """A value as text: strings as they are, null as an empty one, all else as JSON."""
+    if kind == "string":
+        return F.coalesce(value, F.lit(""))
+    return F.coalesce(F.to_json(value) if kind.startswith(("struct", "array", "map", "variant")) else value.cast("string"), F.lit(""))
+
+
+def task_of_input(text: Column) -> Column:
+    """The task that an input names: the first of its fields task, query, question and input, else the text itself."""
+    t = F.coalesce(text, F.lit(""))
+    return F.coalesce(*[F.nullif(strip(F.get_json_object(t, f"$.{k}")), F.lit("")) for k in ("task", "query", "question", "input")], strip(t))
+
+
+def token_cut(text: Column, most: int, marker: str = "\n...[cut]...\n") -> Column:
+    """``middle_cut`` to an estimated number of tokens: the most characters, by halving steps, whose cut text stays within it."""
+    room = F.lit(0)
+    t = F.coalesce(text, F.lit(""))
+
+    def cut(n: Column) -> Column:
+        head = F.floor(n * 2 / 3).cast("int")
+        return F.concat(F.left(t, head), F.lit(marker), F.right(t, (n - head).cast("int")))
+
+    steps = F.sequence(F.lit(24), F.lit(0), F.lit(-1))
+    room = F.aggregate(steps, F.lit(0), lambda acc, k: F.when((acc + F.shiftleft(F.lit(1), k) < F.length(t)) & (token_estimate(cut(acc + F.shiftleft(F.lit(1), k))) <= most), acc + F.shiftleft(F.lit(1), k)).otherwise(acc))
+    return F.when(token_estimate(t) <= most, t).otherwise(cut(room))
 
 
 def opaque_tokens(text: Column) -> Column:

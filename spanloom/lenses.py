@@ -83,3 +83,48 @@ def alignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("F_"), F.col("doc_id").cast("string")).alias("human_location"),
         F.when(F.col("doc_id") % 5 == 4, "unknown").otherwise(F.concat(F.lit("f_"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1).cast("string"))).alias("auto_location"),
     )
+
+
+def tool_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as canonical spans of an agent: the first turn is its task, odd turns call a model, further even ones a tool.
+
+    Texts of results and answers follow from the numbers of conversation and turn, so that links of every state occur.
+    """
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), "turn")
+    w = Window.partitionBy("c").orderBy("turn")
+    t = t.withColumn("t", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("c")))
+    c, k = F.col("c").cast("string"), F.col("t").cast("string")
+    run, model = F.col("t") == 0, F.col("t") % 2 == 1
+    facts = lambda p: [F.concat(F.lit("dist "), p.cast("string"), F.lit("0 km")), F.concat(F.lit("mass "), (F.col("c") % 50).cast("string"), F.lit(".5 kg")), F.concat(F.lit("code "), c, F.lit("-"), p.cast("string"))]
+    host = F.concat(F.lit("host"), (F.col("c") % 7).cast("string"), F.lit(".example"))
+    status = F.when(F.col("c") % 9 == 4, "Status: 404").otherwise("Status: 200")
+    result = F.when((F.col("c") + F.col("t")) % 7 == 0, "").when((F.col("c") + F.col("t")) % 11 == 0, '{"success":false,"error":"down","city":"B"}').otherwise(F.concat_ws("\n", *facts(F.col("t")), F.concat(F.lit("as of 2024-03-1"), k), status))
+    arguments = F.when(F.col("c") % 2 == 0, F.concat(F.lit('{"url":"http://www.'), host, F.lit('/doc/abcdefg'), c, F.lit('1","city":"a"}'))).otherwise(F.concat(F.lit('{"query":"code","ref_id":"opaque'), c, F.lit("x"), k, F.lit('"}')))
+    before = F.col("t") - 1
+    mode = (F.col("c") + F.col("t")) % 5
+    used = facts(before)
+    said = F.when(mode == 0, "nothing").when(mode == 1, used[2]).when(mode == 2, F.concat_ws(" ", *used)).when(mode == 3, F.concat(F.lit("outdated "), host, F.lit(" "), used[0])).otherwise(F.concat_ws("\n", *used))
+    output = F.concat(F.lit("turn "), k, F.lit("\n"), said)
+    call = lambda i: F.concat(F.lit("call_"), c, F.lit("_"), i.cast("string"))
+    shown = F.when((F.col("c") % 3 != 0) & (before >= 2), F.concat(F.lit('[{"role":"user","content":"x"},{"role":"tool","tool_call_id":"'), call(before), F.lit('","content":"r"}]'))).otherwise("[]")
+    asks = F.when(F.col("t") + 1 < F.col("n"), F.concat(F.lit('[{"role":"assistant","content":"go","tool_calls":["'), call(F.col("t") + 1), F.lit('"]}]'))).otherwise('[{"role":"assistant","content":"end"}]')
+    task = F.concat(F.lit('Please find "code"'), F.when(F.col("c") % 4 == 0, " of 2024-03-12").otherwise(""))
+    pairs = lambda *kv: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for x in kv])
+    attributes = F.when(run, pairs("input.value", task)).when(model, pairs("otel.original_span_name", "gen_ai.chat", "llm.output_messages.0.message.content", output, "gen_ai.input.messages", shown, "gen_ai.output.messages", asks)).otherwise(
+        pairs("tool.name", "lookup", "tool.id", call(F.col("t")), "tool.parameters", F.when(F.col("c") % 5 == 0, '{"required":["url"]}').otherwise("{}"), "input.value", arguments, "output.value", result)
+    )
+    inner = (F.col("c") % 6 == 0) & (F.col("t") == 3)
+    parent = F.when(~run, F.concat(F.lit("s"), c, F.when(inner, "_2").otherwise("_0")))
+    name = F.when(run, "CodeAgent.run").when(model, "chat").otherwise("tool")
+    return t.select(F.col("c").alias("trace_id"), F.concat(F.lit("s"), c, F.lit("_"), k).alias("span_id"), parent.alias("parent_id"), F.lpad(k, 3, "0").alias("ts"), F.col("t").alias("pos"), name.alias("name"), F.when((F.col("c") + F.col("t")) % 13 == 0, "Error").otherwise("Ok").alias("status"), attributes.alias("attributes"))
+
+
+def artifact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nodes of an agent that writes files, reads them and fails on them; searches and plans lie between."""
+    e = event_spans(spark, sf_dir)
+    k = (F.col("span_id") % 7).cast("string")
+    t, n = F.col("tool"), F.col("pos")
+    said = F.when(t == "click", F.concat(F.lit("Tool: editor | write config_"), k, F.lit(".json"), F.when(n % 3 == 0, " with a stale value").otherwise("")))
+    said = said.when(t == "error", F.concat(F.lit("failed on config_"), k, F.lit(".json"))).when(t == "view", F.concat(F.lit("search result of json.loads config_"), k, F.lit(".json"))).when(t == "purchase", "the final answer is here").otherwise(F.concat(F.lit("let me plan step "), k))
+    kind = F.when(t == "click", "Action").when(t == "error", "Error").when(t == "view", "Fact").when(t == "purchase", "Conclusion").otherwise("Planning")
+    return e.select("trace_id", F.col("span_id").alias("node_id"), F.col("pos").alias("ord"), kind.alias("type"), said.alias("content"), F.col("span_id"), F.col("parent_id"), "tool", F.col("pos").alias("step"))

@@ -35,9 +35,17 @@ def node_ids(turns: DataFrame) -> DataFrame:
 
 
 def deduplicated(nodes: DataFrame) -> DataFrame:
-    """Nodes without those of the same type and fingerprint as an earlier one, and how often each occurs."""
-    key = Window.partitionBy("trace_id", "type", text.fingerprint(F.col("content")))
-    return nodes.withColumn("occurrences", F.count("*").over(key)).withColumn("_n", F.row_number().over(key.orderBy("ord"))).where("_n = 1").drop("_n")
+    """Nodes without those of the same type and fingerprint as an earlier one, with how often each occurs and, where there are steps, in which.
+
+    Errors are the same only within a span, others within an agent, as far as nodes have ``span_id`` and ``agent_id``.
+    """
+    own = F.when(F.col("type") == "Error", F.col("span_id").cast("string") if "span_id" in nodes.columns else F.lit(None)).otherwise(F.col("agent_id").cast("string") if "agent_id" in nodes.columns else F.lit(None))
+    rows = nodes.withColumn("_own", own).withColumn("_print", text.fingerprint(F.col("content")))
+    key = Window.partitionBy("trace_id", "type", "_own", "_print")
+    out = rows.withColumn("occurrences", F.count("*").over(key))
+    if "step" in nodes.columns:
+        out = out.withColumn("source_steps", F.array_sort(F.collect_set("step").over(key)))
+    return out.withColumn("_n", F.row_number().over(key.orderBy("ord"))).where("_n = 1").drop("_n", "_own", "_print")
 
 
 def _edges(df: DataFrame, source: Column, target: Column, kind: str, score: Column | float) -> DataFrame:
@@ -100,9 +108,17 @@ def span_graph(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def saliency(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``saliency``: the type's weight, 0.8 for errors, and up to 0.4 for late ones; four digits."""
+    """Nodes with ``saliency``: the type's weight; more for a final answer, an observation, an error and a violation; and up to 0.4 for late ones; four digits.
+
+    Violations count where nodes have ``violation_types`` or ``semantic_error_score``.
+    """
     late = 0.4 * F.row_number().over(Window.partitionBy("trace_id").orderBy("ord")) / F.count("*").over(Window.partitionBy("trace_id"))
-    return nodes.withColumn("saliency", F.round(numbers.of(numbers.SALIENCY, F.col("type"), 1.0) + F.when(F.col("type") == "Error", 0.8).otherwise(0.0) + late, 4))
+    low = F.lower(F.coalesce("content", F.lit("")))
+    more = lambda pattern, value: F.when(low.rlike(pattern), value).otherwise(0.0)
+    wrong = F.when(F.size("violation_types") > 0, 2.0).otherwise(0.0) if "violation_types" in nodes.columns else F.lit(0.0)
+    score = F.coalesce("semantic_error_score", F.lit(0.0)) if "semantic_error_score" in nodes.columns else F.lit(0.0)
+    text_part = more(r"final answer|final_answer\(", 2.5) + more("observation|execution logs", 0.8) + more("error|failed", 0.8)
+    return nodes.withColumn("saliency", F.round(numbers.of(numbers.SALIENCY, F.col("type"), 1.0) + text_part + wrong + score + late, 4))
 
 
 def cognitive_edges(nodes: DataFrame, per_target: int = 3, limit: int = 24, threshold: float = 0.06) -> DataFrame:

@@ -18,6 +18,33 @@ def result_status(status: Column, output: Column) -> Column:
     return F.struct(transport.alias("transport_success"), business.alias("business_success"), (~transport | ~business).alias("is_error"))
 
 
+# Openings that tell of a failed tool, and words that do so only where the span has no status of its own.
+STRONG_ERROR = r"(?i)(?:^|\n)\s*(?:file system operation execution error\b|error when executing tool\b|tool execution (?:error|failed)\b|execution failed(?:\s+at|\s*:)|\[error\])"
+WEAK_ERROR = r"(?i)(?:\btraceback\b|\bexception\b|\bsuccess\s*[:=]\s*false\b|\bfailed\b|\btimeout\b)"
+
+
+def tool_status(status: Column, result: Column) -> Column:
+    """transport_success, business_success (null where the result doesn't say) and is_error of a tool result.
+
+    A result that is a JSON object speaks by its ``success`` and ``error``; other text by its opening. Words of failure within
+    it count only where the status is unset, since a good call may return a document about a failure.
+    """
+    state, t = F.lower(F.trim(F.coalesce(status, F.lit("")))), F.coalesce(result, F.lit(""))
+    transport = ~state.isin("error", "status_code_error")
+    parsed = F.json_object_keys(t).isNotNull()
+    success, error = F.get_json_object(t, "$.success"), F.get_json_object(t, "$.error")
+    business = F.when(parsed & success.isin("true", "false"), success == "true")
+    bad = error.isNotNull() & ~error.isin("", "null", "false", "[]", "{}")
+    worded = ~parsed & (t.rlike(STRONG_ERROR) | (state.isin("", "unset", "status_code_unset", "status_code_unspecified") & t.rlike(WEAK_ERROR)))
+    return F.struct(transport.alias("transport_success"), business.alias("business_success"), (~transport | F.coalesce(~business, F.lit(False)) | (parsed & bad) | worded).alias("is_error"))
+
+
+def fields_differ(arguments: Column, result: Column, key: Column) -> Column:
+    """Whether both JSON objects have the key, with values that differ in more than case and outer white space."""
+    a, b = (F.element_at(F.from_json(x, "map<string,string>"), key) for x in (arguments, result))
+    return a.isNotNull() & b.isNotNull() & (F.lower(F.trim(a)) != F.lower(F.trim(b)))
+
+
 def violations(calls: DataFrame) -> DataFrame:
     """Rule violations of tool calls (trace_id, span_id, status, input, output): a row each, with severity and confidence.
 
@@ -40,8 +67,8 @@ def violations(calls: DataFrame) -> DataFrame:
     return calls.select("trace_id", "span_id", F.explode(found).alias("v")).select("trace_id", "span_id", "v.*")
 
 
-def origins(spans: DataFrame) -> DataFrame:
-    """For each span, the latest earlier one of its trace with the same input; as-of by place."""
+def repeats_of(spans: DataFrame) -> DataFrame:
+    """For each span, the latest earlier one of its trace with the same input; as-of by place. ``semantics.origins`` finds what an argument came from."""
     w = Window.partitionBy("trace_id", "input").orderBy("pos")
     return spans.select("trace_id", "span_id", F.lag("span_id").over(w).alias("origin_id")).where("origin_id is not null")
 
@@ -67,26 +94,13 @@ def delivery_links(turns: DataFrame, least: int = 3) -> DataFrame:
 
 
 def propagation(links: DataFrame, finals: DataFrame) -> DataFrame:
-    """For each source, whether its evidence reaches the trace's final step over propagated or transformed links, and the least confidence on the way."""
-    live = links.where("state in ('PROPAGATED', 'TRANSFORMED')").select("trace_id", "source", "target", "confidence")
-    reached = links.sparkSession.sql(
-        """
-        WITH RECURSIVE go(trace_id, source, at, confidence, hops) AS (
-          SELECT trace_id, source, target, confidence, 1 FROM {live}
-          UNION ALL
-          SELECT go.trace_id, go.source, l.target, least(go.confidence, l.confidence), go.hops + 1
-          FROM go JOIN {live} l ON l.trace_id = go.trace_id AND l.source = go.at
-          WHERE l.target > go.at
-        )
-        SELECT go.trace_id, go.source, max(go.confidence) AS confidence, min(go.hops) AS hops
-        FROM go JOIN {finals} f ON f.trace_id = go.trace_id AND f.final_step = go.at
-        GROUP BY go.trace_id, go.source
-        """,
-        live=live,
-        finals=finals,
-    )
-    sources = links.select("trace_id", "source").distinct()
-    return sources.join(reached, ["trace_id", "source"], "left").select("trace_id", "source", F.col("hops").isNotNull().alias("reaches_final"), "confidence", "hops")
+    """For each source, whether its evidence reaches the trace's final step over propagated or transformed links, and of the way found first, breadth first, the least confidence and the hops."""
+    from spanloom.operators import semantics
+
+    named = links.withColumnRenamed("target", "consumer")
+    found = semantics.propagation(named, finals.withColumnRenamed("final_step", "final_id"), links.select("trace_id", "source").distinct())
+    reaches = F.col("reaches_final")
+    return found.select("trace_id", "source", reaches, F.when(reaches, F.col("confidence")).alias("confidence"), F.when(reaches, F.size("path") - 1).alias("hops"))
 
 
 def final_steps(turns: DataFrame) -> DataFrame:

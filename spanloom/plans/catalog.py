@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from spanloom import lenses
 from spanloom.functions import numbers, text
-from spanloom.operators import agents, alignment, graph, graph_algorithms, judgements, monitoring, ranking, reports, selection, spans, validation
-from spanloom.sources import metrics, traces
+from spanloom.operators import agents, alignment, digests, extraction, graph, graph_algorithms, judgements, monitoring, ranking, reports, selection, semantics, spans, strategies, suspicion, target_paths, validation
+from spanloom.sources import datasets, metrics, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,7 +250,7 @@ def q_rca_table(spark, d):
 
 @query
 def q_origin_asof(spark, d):
-    return validation.origins(lenses.event_spans(spark, d))
+    return validation.repeats_of(lenses.event_spans(spark, d))
 
 
 @query
@@ -554,4 +554,311 @@ def q_missed_items(spark, d):
 @query
 def q_signatures(spark, d):
     t = F.col("text")
-    return lenses.table(spark, d, "documents").select("doc_id", F.size(text.signatures(t)).cast("long").alias("n_signatures"), F.size(text.dates(t)).cast("long").alias("n_dates"), F.size(text.required_tags(t)).cast("long").alias("n_tags"), text.final_answer(t).isNotNull().alias("answered"))
+    return lenses.table(spark, d, "documents").select("doc_id", F.size(text.fact_signatures(t)).cast("long").alias("n_signatures"), F.size(text.dates(t)).cast("long").alias("n_dates"), F.size(text.required_tags(t)).cast("long").alias("n_tags"), text.final_answer(t).isNotNull().alias("answered"))
+
+
+# --- semantic validation
+
+
+def _steps(spark, d):
+    return semantics.steps(lenses.tool_dialogues(spark, d))
+
+
+@query
+def q_delivery_links(spark, d):
+    out = semantics.delivery_links(_steps(spark, d))
+    return out.select("trace_id", "source", "consumer", "method", "state", F.array_join("matched", "|").alias("matched"), "confidence", "relation")
+
+
+@query
+def q_subagent_returns(spark, d):
+    return semantics.subagent_returns(_steps(spark, d)).select("trace_id", "source", "consumer", F.size("matched").cast("long").alias("n_matched"), "confidence")
+
+
+@query
+def q_final_answers(spark, d):
+    return semantics.final_answers(_steps(spark, d))
+
+
+@query
+def q_argument_origins(spark, d):
+    return semantics.origins(_steps(spark, d))
+
+
+@query
+def q_tool_evidence(spark, d):
+    return semantics.prior_evidence(_steps(spark, d)).select("trace_id", "span_id", F.md5("evidence").alias("evidence_md5"))
+
+
+@query
+def q_call_violations(spark, d):
+    steps = _steps(spark, d)
+    return semantics.call_violations(steps, semantics.delivery_links(steps))
+
+
+@query
+def q_semantic_checks(spark, d):
+    out = semantics.validate(_steps(spark, d))["checks"]
+    return out.select("trace_id", "span_id", "tool", "origin_id", "consumed", "verdict", F.array_join("violation_types", ",").alias("violation_types"), "reaches_final")
+
+
+@query
+def q_semantic_propagation(spark, d):
+    return semantics.validate(_steps(spark, d))["propagation"].select("trace_id", "source", "state", "reaches_final")
+
+
+@query
+def q_rule_findings(spark, d):
+    found = semantics.validate(_steps(spark, d))
+    return semantics.rule_findings(found["violations"], found["checks"])
+
+
+# --- suspicion, paths to the outcome, strategies
+
+
+def _agent(spark, d):
+    nodes = graph.saliency(lenses.artifact_nodes(spark, d))
+    edges = graph.temporal_edges(nodes).unionByName(graph.observation_edges(nodes)).unionByName(graph.retry_edges(nodes))
+    return nodes, graph.unique_edges(edges)
+
+
+@query
+def q_neighbourhoods(spark, d):
+    nodes, edges = _agent(spark, d)
+    return suspicion.neighbourhoods(nodes, graph.simple_edges(edges)).select("trace_id", "node_id", "near_failure", "is_retry", "is_bridge")
+
+
+@query
+def q_suspicion(spark, d):
+    nodes, edges = _agent(spark, d)
+    return suspicion.described(nodes, graph.simple_edges(edges)).select("trace_id", "node_id", F.round("base_score", 4).alias("base_score"), "cause_type", "tool", F.size("words").cast("long").alias("n_words"), "doubt")
+
+
+@query
+def q_produced_faults(spark, d):
+    return suspicion.produced_faults(lenses.artifact_nodes(spark, d))
+
+
+@query
+def q_tool_frequencies(spark, d):
+    return suspicion.tool_frequencies(lenses.artifact_nodes(spark, d))
+
+
+@query
+def q_diagnosis_targets(spark, d):
+    return target_paths.listed(target_paths.found_paths(*_agent(spark, d)), "targets")
+
+
+@query
+def q_failure_slice(spark, d):
+    return target_paths.listed(target_paths.found_paths(*_agent(spark, d)), "slice").select("trace_id", "node_id")
+
+
+@query
+def q_tgspe_paths(spark, d):
+    found = target_paths.found_paths(*_agent(spark, d), target_paths.Limits(context=True, coverage=3))
+    return target_paths.rows_of(found, "ranking").select("trace_id", "rank", "node_id", "target", "usage", "cause_type", "score", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query
+def q_strategy_bm25(spark, d):
+    return strategies.pruned(*_agent(spark, d), "bm25_retrieval")
+
+
+@query
+def q_strategy_window(spark, d):
+    return strategies.pruned(*_agent(spark, d), "temporal_window", most=20, room=600)
+
+
+@query
+def q_strategies(spark, d):
+    nodes, edges = _agent(spark, d)
+    return strategies.all_pruned(nodes, edges).groupBy("strategy").agg(F.count("*").alias("n_nodes"), F.count_distinct("trace_id").alias("n_traces"))
+
+
+@query
+def q_subgraph_summary(spark, d):
+    nodes, edges = _agent(spark, d)
+    return selection.subgraph_summary(nodes, edges, nodes.where("ord % 3 = 0"))
+
+
+@query
+def q_packed_slice(spark, d):
+    nodes, edges = _agent(spark, d)
+    return selection.packed_slice(nodes, edges).select("trace_id", "node_id", "hops")
+
+
+@query
+def q_path_edges(spark, d):
+    nodes, edges = _agent(spark, d)
+    w = Window.partitionBy("trace_id").orderBy("ord")
+    paths = nodes.select("trace_id", "ord", F.array("node_id", F.lead("node_id").over(w), F.lead("node_id", 2).over(w)).alias("path")).where("ord % 5 = 0 and path[2] is not null")
+    return selection.on_paths(edges, paths).select("trace_id", "source", "target", "edge_type")
+
+
+# --- digests, anchors and packs
+
+
+@query
+def q_graph_signals(spark, d):
+    nodes, edges = _agent(spark, d)
+    return digests.signals(nodes, edges.unionByName(_thoughts(nodes)))
+
+
+def _thoughts(nodes):
+    w = Window.partitionBy("trace_id").orderBy("ord")
+    rows = nodes.withColumn("target", F.lead("node_id", 2).over(w)).where("ord % 4 != 1 and target is not null")
+    return rows.select("trace_id", F.col("node_id").alias("source"), "target", F.lit("Cognitive").alias("edge_type"), F.lit(0.5).alias("score"))
+
+
+@query
+def q_salient_projection(spark, d):
+    out = digests.projected(*_agent(spark, d), "pure", 10)
+    return out.withColumn("content_flags", F.array_join("content_flags", ","))
+
+
+@query
+def q_graph_digest(spark, d):
+    nodes, edges = _agent(spark, d)
+    j = digests.graph_digest(nodes, edges.unionByName(_thoughts(nodes)))
+    at = lambda p: F.get_json_object("digest", p)
+    return j.select("trace_id", at("$.stats.n_nodes").cast("long").alias("n_nodes"), at("$.signals.retry_edges").cast("long").alias("retry_edges"), at("$.top_salient_nodes[0].node_id").cast("long").alias("top_node"), at("$.top_cognitive_edges[0].source").cast("long").alias("top_edge"))
+
+
+def _chains(spark, d):
+    nodes = lenses.artifact_nodes(spark, d)
+    w = Window.partitionBy("trace_id").orderBy("ord")
+    name = F.concat(F.left("type", F.lit(1)), F.lit("_"), F.col("node_id").cast("string"))
+    rows = nodes.select("trace_id", "ord", name.alias("a"), F.lead(name).over(w).alias("b"), F.lead(name, 2).over(w).alias("c")).where("ord % 6 = 1 and c is not null")
+    cause = F.get(F.array(*[F.lit(x) for x in ("tool_or_execution_failure", "wrong_action_or_tool_choice", "final_answer_symptom", "unsupported_or_invalid_reasoning", "other")]), (F.col("ord") % 5).cast("int"))
+    chains = rows.select("trace_id", F.col("ord").alias("chain"), F.col("a").alias("origin"), F.lit(None).cast("string").alias("root"), F.col("b").alias("usage"), F.col("c").alias("final"), F.array("a", "b", "c").alias("path"), cause.alias("cause_type"), F.lit("plain").alias("said"))
+    causes = rows.select("trace_id", F.col("ord").alias("item"), F.when(F.col("ord") % 4 == 1, F.col("b")).otherwise(F.concat(F.lit("span"), F.col("ord").cast("string"))).alias("location"), F.lit("x").alias("said"))
+    named = nodes.select("trace_id", name.alias("node_id"), F.concat(F.lit("S"), F.col("node_id").cast("string")).alias("span_id"))
+    return causes, chains, named
+
+
+@query
+def q_relocated_causes(spark, d):
+    return digests.relocated(*_chains(spark, d))
+
+
+@query
+def q_compact_chains(spark, d):
+    nodes, edges = _agent(spark, d)
+    ranked = nodes.where("ord % 5 = 0").select("trace_id", (F.col("ord") / 5).cast("int").alias("rank"), "node_id", F.col("node_id").alias("usage"), F.col("node_id").alias("target"))
+    return digests.compact_chains(ranked, nodes, "pure").select("trace_id", "rank", "node_id", "origin_type", "final_type", F.col("usage_evidence_chars").cast("long").alias("usage_evidence_chars"))
+
+
+@query
+def q_prompt_pack(spark, d):
+    nodes, edges = _agent(spark, d)
+    j = digests.prompt_pack(nodes, edges, nodes.where("ord % 2 = 0"), "pure")
+    at = lambda p: F.get_json_object("pack", p)
+    return j.select("trace_id", at("$.node_count").cast("long").alias("node_count"), at("$.edge_count").cast("long").alias("edge_count"), at("$.nodes[0].content_chars").cast("long").alias("first_chars"))
+
+
+@query
+def q_graph_report(spark, d):
+    return digests.graph_report(*_agent(spark, d))
+
+
+@query
+def q_subgraph_json(spark, d):
+    nodes, edges = _agent(spark, d)
+    j = digests.subgraph_json(nodes, edges, nodes.where("ord <= 9"), "first_nine")
+    at = lambda p: F.get_json_object("graph", p)
+    return j.select("trace_id", "strategy", at("$.evaluation.node_count").cast("long").alias("node_count"), at("$.graph.summary.total_edges").cast("long").alias("total_edges"))
+
+
+@query
+def q_view_payload(spark, d):
+    nodes, edges = _agent(spark, d)
+    spans_ = lenses.event_spans(spark, d).select("trace_id", "span_id", "parent_id", F.when(F.col("tool") == "click", "tool call").when(F.col("tool") == "signup", "agent").otherwise("Step 1").alias("name"), "pos", "status")
+    j = digests.view_payload(nodes, edges, spans_)
+    at = lambda p: F.get_json_object("payload", p)
+    return j.select("trace_id", at("$.nodes[0].label").alias("label"), at("$.spans[0].component").alias("component"), at("$.components[0].n").cast("long").alias("n_first"))
+
+
+@query
+def q_batch_summary(spark, d):
+    rows = lenses.alignment_pairs(spark, d).select("human_impact", F.when(F.col("item") % 7 == 0, "n/a").otherwise((F.col("item") % 10).cast("string")).alias("score"))
+    return digests.batch_summary(rows, "human_impact", ["score"], F.col("score") != "n/a")
+
+
+# --- nodes by the names of spans, data sets and stores
+
+
+def _named(spark, d):
+    rows = lenses.tool_dialogues(spark, d)
+    return rows.withColumn("name", F.when(F.col("name") == "chat", "LiteLLMModel.__call__").otherwise(F.col("name"))).withColumn("status_message", F.lit(""))
+
+
+@query
+def q_extracted_nodes(spark, d):
+    rows = _named(spark, d)
+    out = extraction.nodes(rows, semantics.final_answers(semantics.steps(rows)))
+    return out.select("trace_id", "node_id", "ord", "type", F.md5("content").alias("content_md5"), "span_id")
+
+
+@query
+def q_suspicious_spans(spark, d):
+    given = F.when(F.col("tool") == "signup", '{"kwargs": {"": ""}}').otherwise("{}")
+    rows = lenses.event_spans(spark, d).withColumn("attributes", F.create_map(F.lit("input.value"), given, F.lit("output.value"), F.col("tool"))).withColumn("name", F.lit("Step 1")).withColumn("status_message", F.lit(""))
+    return extraction.suspicious_spans(rows).select("trace_id", "span_id", "kind")
+
+
+@query
+def q_dedup_provenance(spark, d):
+    nodes = lenses.artifact_nodes(spark, d).withColumn("agent_id", F.concat(F.lit("a"), (F.col("ord") % 2).cast("string")))
+    return graph.deduplicated(nodes).select("trace_id", "node_id", "type", "occurrences", F.array_join(F.col("source_steps").cast("array<string>"), ",").alias("source_steps"))
+
+
+@query
+def q_dataset_rows(spark, d):
+    train = lenses.table(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 != 0, F.col("item_id").cast("string")).otherwise("").alias("id"), F.col("text").alias("annotation"), F.col("item_id").alias("k"))
+    test = lenses.table(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_regionkey").cast("long").alias("k"))
+    rows = datasets.splits({"train": train, "test": test}, "k")
+    return rows.select("split", "idx", datasets.sample_id(rows, F.col("idx")).alias("sample_id"), F.md5(datasets.annotation_column(rows)).alias("annotation_md5"))
+
+
+@query
+def q_annotations(spark, d):
+    n = lenses.table(spark, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    files = n.where("n_nationkey % 3 < 2").select(F.concat(F.lit("/notes/"), k, F.lit(".json")).alias("path"), F.when(F.col("n_nationkey") % 3 == 0, '{"errors":[]}').otherwise("{broken").alias("value"))
+    return datasets.annotated(n.select(k.alias("trace_id")), files).select("trace_id", "status")
+
+
+@query
+def q_graph_files(spark, d):
+    n = lenses.table(spark, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("/g/local_"), k, F.lit("_graph.json"))).otherwise(F.concat(F.lit("/g/a-"), k, F.lit(".json")))
+    files = n.where("n_nationkey % 3 < 2").select(name.alias("path"), F.lit("{}").alias("value"))
+    return datasets.graph_of(n.select(k.alias("trace_id")), files).select("trace_id", "file")
+
+
+@query
+def q_graph_choice(spark, d):
+    n = lenses.table(spark, d, "nation").select(F.col("n_nationkey").alias("trace_id"))
+    g = lambda p: n.select("trace_id", F.concat(F.lit(p), F.col("trace_id").cast("string")).alias("graph"))
+    return datasets.first_graph(g("f"), g("p").where("trace_id % 2 = 0"), g("s").where("trace_id % 4 = 0"))
+
+
+def _payloads(spark, d):
+    e = lenses.table(spark, d, "events")
+    span = F.to_json(F.struct(F.lpad(F.col("user_id").cast("string"), 32, "0").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.col("event_type").alias("name")))
+    rows = e.groupBy(F.lit(0).alias("k")).agg(F.array_join(F.collect_list(span), ",").alias("spans"))
+    return rows.select(F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[]},"scopeSpans":[{"scope":{"name":"s"},"spans":['), "spans", F.lit("]}]}]}")).alias("value"))
+
+
+@query
+def q_payload_split(spark, d):
+    out = datasets.by_trace(_payloads(spark, d))
+    n = F.size(F.from_json(F.get_json_object("payload", "$.resourceSpans[0].scopeSpans[0].spans"), "array<string>"))
+    return out.select("trace_id", "n_spans", n.cast("long").alias("spans_in_payload"))
+
+
+@query
+def q_payload_manifest(spark, d):
+    return datasets.manifest(datasets.by_trace(_payloads(spark, d)))
