@@ -73,6 +73,28 @@ def test_search_recall_beside_copies(spark, scaled):
     assert len(want) > 300 and len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
 
 
+def test_search_recall_with_full_files(spark):
+    """With thousands of vectors without structure in each file, a small share of them reranked finds nine of ten neighbours."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40_000, 32))
+    index = permutation_index.fit(x[:4096], len(x), 5)
+    assert 128 <= len(index.pivots) <= 512 and len(x) * index.posted / len(index.pivots) > 900
+    assert index.place < 0.09 * 4096
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = permutation_index.search(df, F.col("vec_id") % 400 == 0).collect()
+    want = brute(np.arange(40_000), x, range(0, 40_000, 400), 5)
+    assert len(got) == 500 and len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
+
+
+def test_search_ties_infinities_and_repeated_ids(spark):
+    x = {1: [1.0, 0.0], 2: [2.0, 0.0], 3: [3.0, 0.0], 4: [0.0, 1.0], 5: [float("inf"), 0.0], 6: [1.0, 1.0], 7: [-1.0, 0.0]}
+    rows = [*x.items(), (4, [0.0, -1.0]), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(g.query_id, g.rank): (g.vec_id, round(g.score, 6)) for g in permutation_index.search(df, F.col("vec_id").isin(1, 4, 5), k=3).collect()}
+    assert [got[1, r] for r in (1, 2, 3)] == [(2, 1.0), (3, 1.0), (6, 0.707107)]
+    assert {q for q, _ in got} == {1, 4} and got[4, 1] == (6, 0.707107) and 4 not in [got[4, r][0] for r in (1, 2, 3)]
+
+
 def test_url_filter_as_of(spark):
     events = spark.createDataFrame(
         [("host", "A.example.com", "add", "2024-01-10"), ("host", "a.example.com", "remove", "2024-01-20"), ("domain", "example.com", "add", "2024-01-15"), ("domain", "example.com", "remove", "2024-01-15"), ("domain", "example.org", "add", "2024-01-05"), ("url", "http://b.net/x", "add", "2024-01-01"), ("host", None, "add", "2024-01-01")],
