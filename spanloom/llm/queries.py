@@ -62,7 +62,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH captures AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7 % 730 AS INTEGER) AS DATE) AS fetched,
-         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)', 1)) AS host
+         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/:?#]*)', 1)), '\\.$', '') AS host
   FROM pages
 ), hosts AS (
   SELECT host, x FROM (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS x FROM (SELECT DISTINCT host FROM captures WHERE host != '')) WHERE x % 3 = 0

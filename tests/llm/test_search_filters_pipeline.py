@@ -110,6 +110,23 @@ def test_url_filter_as_of(spark):
     assert not any(r.blocked for r in url_filters.filter_captures(captures, events.where("false")).collect())
 
 
+def test_url_filter_names_hosts_and_hot_hosts(spark):
+    """Columns of any name survive, addresses and dots at the end are hosts too, and a host with a third of all captures is judged day by day."""
+    days = [f"2024-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in (1, 11, 21)]
+    rows = [(i, "http://hot.net/p" if i % 3 == 0 else f"http://[2001:DB8::1]:8080/{i}" if i % 3 == 1 else f"https://Site{i % 5}.org./x", days[i % 9], f"e{i}", "old", None, "k") for i in range(180)]
+    names = "id int, url string, day string, entries string, host string, blocked string, _url string"
+    captures = spark.createDataFrame(rows, names)
+    listed = [("host", "hot.net", "add", "2024-01-05"), ("host", "hot.net", "remove", "2024-02-11"), ("host", "hot.net", "add", "2024-03-11"), ("host", "[2001:db8::1]", "add", "2024-02-01"), ("domain", "org", "add", "2024-03-21")]
+    events = spark.createDataFrame(listed, "kind string, value string, action string, since string")
+    out = url_filters.filter_captures(captures, events, fetched="day")
+    assert out.columns == ["id", "url", "day", "entries", "_url", "host", "blocked", "blocked_kind", "blocked_value", "blocked_since"]
+    for r in out.collect():
+        kind = r.id % 3
+        want = ("2024-01-05" <= r.day < "2024-02-11" or r.day >= "2024-03-11") if kind == 0 else r.day >= ("2024-02-01" if kind == 1 else "2024-03-21")
+        assert r.blocked == want and r.host == ("hot.net", "[2001:db8::1]", f"site{r.id % 5}.org")[kind] and r.entries == f"e{r.id}"
+    assert out.count() == 180
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
