@@ -212,15 +212,14 @@ def task_of_input(text: Column) -> Column:
 
 def token_cut(text: Column, most: int, marker: str = "\n...[cut]...\n") -> Column:
     """``middle_cut`` to an estimated number of tokens: the most characters, by halving steps, whose cut text stays within it."""
-    room = F.lit(0)
     t = F.coalesce(text, F.lit(""))
 
     def cut(n: Column) -> Column:
         head = F.floor(n * 2 / 3).cast("int")
         return F.concat(F.left(t, head), F.lit(marker), F.right(t, (n - head).cast("int")))
 
-    steps = F.sequence(F.lit(24), F.lit(0), F.lit(-1))
-    room = F.aggregate(steps, F.lit(0), lambda acc, k: F.when((acc + F.shiftleft(F.lit(1), k) < F.length(t)) & (token_estimate(cut(acc + F.shiftleft(F.lit(1), k))) <= most), acc + F.shiftleft(F.lit(1), k)).otherwise(acc))
+    halves = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    room = F.aggregate(halves, F.lit(0), lambda acc, step: F.when((acc + step < F.length(t)) & (token_estimate(cut(acc + step)) <= most), acc + step).otherwise(acc))
     return F.when(token_estimate(t) <= most, t).otherwise(cut(room))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import numbers
@@ -91,3 +91,68 @@ def correlated(events: DataFrame, spans: DataFrame, seconds: int = 300) -> DataF
     both = events.withColumn("bucket", bucket("ts")).join(failed, ["system_id", "bucket"])
     gap = F.abs(F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("at").cast("timestamp")))
     return both.where(gap <= seconds).groupBy("system_id", "layer").agg(F.count_distinct("seq").alias("events"), F.count_distinct("span_id").alias("failed_spans"))
+
+
+def application(spans: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The application layer of each trace: spans, model and tool calls, failed spans, nodes, errors and edges, and its status.
+
+    ``spans``: trace_id, name, tool, status. Critical with any failure, healthy without, unknown where there is nothing to see.
+    """
+    s = spans.groupBy("trace_id").agg(
+        F.count("*").alias("span_count"), F.count_if(F.col("name") == "LiteLLMModel.__call__").alias("llm_calls"),
+        F.count_if((F.coalesce("tool", F.lit("")) != "") | F.col("name").endswith("Tool")).alias("tool_calls"), F.count_if(F.lower("status") == "error").alias("failed_spans"),
+    )
+    n = nodes.groupBy("trace_id").agg(F.count("*").alias("node_count"), F.count_if(F.col("type") == "Error").alias("error_nodes"))
+    e = edges.groupBy("trace_id").agg(F.count("*").alias("edge_count"))
+    out = s.join(n, "trace_id", "full").join(e, "trace_id", "left").na.fill(0)
+    bad, seen = (F.col("failed_spans") > 0) | (F.col("error_nodes") > 0), (F.col("span_count") > 0) | (F.col("node_count") > 0)
+    return out.withColumn("status", F.when(bad, "critical").when(seen, "healthy").otherwise("unknown"))
+
+
+def accelerator_flags(samples: DataFrame, kind: str = "gpu") -> DataFrame:
+    """Of each pod, its devices' state and what is wrong: saturated at 95 %, too hot at 85 (gpu) or 90 degrees, with errors, or unhealthy.
+
+    ``samples``: pod, device, metric, value, pos; a device's last sample of a metric counts. A device without a ``health`` sample is healthy.
+    """
+    last = samples.groupBy("pod", "device", "metric").agg(F.max_by("value", "pos").alias("value"))
+    wide = last.groupBy("pod", "device").pivot("metric", ["utilization", "memory_used", "temperature", "errors", "health", "power"]).agg(F.first("value"))
+    out = wide.groupBy("pod").agg(
+        F.count("*").alias("device_count"), F.round(F.avg("utilization"), 2).alias("utilization_avg"), F.max("utilization").alias("utilization_max"), F.max("temperature").alias("temperature_max"),
+        F.sum("power").alias("power_total"), F.count_if(F.col("errors") != 0).alias("error_devices"), F.count_if(F.col("health") <= 0).alias("unhealthy_devices"),
+    )
+    limit = 85 if kind == "gpu" else 90
+    flags = F.array_compact(F.array(F.when(F.col("utilization_max") >= 95, "utilization_saturated"), F.when(F.col("temperature_max") >= limit, "temperature_critical"), F.when(F.col("error_devices") > 0, "device_error"), F.when(F.col("unhealthy_devices") > 0, "device_unhealthy")))
+    return out.withColumn("flags", flags)
+
+
+def label_of(labels: Column, keys: tuple[str, ...]) -> Column:
+    """The first of the labels that isn't empty, else an empty text."""
+    return F.coalesce(*[F.nullif(F.coalesce(F.try_element_at(labels, F.lit(k)), F.lit("")), F.lit("")) for k in keys], F.lit(""))
+
+
+# Labels that name pods, namespaces and devices.
+POD_LABELS, SPACE_LABELS, DEVICE_LABELS = ("pod", "pod_name"), ("namespace", "pod_namespace"), ("UUID", "gpu", "device", "npu_id", "id", "chip_id")
+
+
+def scoped_samples(samples: DataFrame, pods: DataFrame) -> DataFrame:
+    """Of each asked pod (pod, namespace), the samples (labels, name, value) of it and of its devices, with scope ``pod``.
+
+    A pod that no sample names has one row of scope ``exporter`` with nulls: all samples of the exporter stand for it.
+    """
+    rows = samples.select("*", label_of(F.col("labels"), POD_LABELS).alias("_pod"), label_of(F.col("labels"), SPACE_LABELS).alias("_space"), label_of(F.col("labels"), DEVICE_LABELS).alias("_device"), F.monotonically_increasing_id().alias("_row"))
+    asked = pods.select(F.col("pod").alias("asked"), F.coalesce("namespace", F.lit("")).alias("space"))
+    own = asked.join(rows, (F.col("asked") == F.col("_pod")) & ((F.col("space") == "") | F.col("_space").isin("") | (F.col("_space") == F.col("space"))))
+    devices = own.where("_device != ''").select("asked", "_device").distinct()
+    shared = devices.join(rows, "_device")
+    named = own.select("asked", *rows.columns).unionByName(shared.select("asked", *rows.columns)).dropDuplicates(["asked", "_row"]).withColumn("scope", F.lit("pod"))
+    rest = asked.select("asked").join(named.select("asked").distinct(), "asked", "left_anti")
+    return named.select("asked", "scope", *samples.columns).unionByName(rest.withColumn("scope", F.lit("exporter")), allowMissingColumns=True)
+
+
+def host_status(probes: DataFrame) -> DataFrame:
+    """Host probes (system_id, cpu, memory, disk in per cent) with a status each and the worst of all: warnings from 80 (disk 85), critical from 95."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in numbers.STATUS_RANK]), c)
+    parts = {c: numbers.threshold_status(F.col(c), w, 95) for c, w in (("cpu", 80), ("memory", 80), ("disk", 85))}
+    rows = probes.select("system_id", *[v.alias(f"{k}_status") for k, v in parts.items()])
+    worst = F.greatest(*[rank(F.col(f"{k}_status")) for k in parts])
+    return rows.withColumn("status", F.element_at(F.array(*[F.lit(x) for x in numbers.STATUS_RANK]), worst.cast("int")))

@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import json as js
 from spanloom.functions import text
+from spanloom.operators import graph
 
 ARROWS = {"Cognitive": "-.->", "Call": "==>"}
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of each trace, its graph as one JSON text (trace_id, graph)."""
+    """Of each trace, its graph as one JSON text (trace_id, graph): counts of all node types and of the edge types that occur, nodes in order, edges."""
     n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("node_id").alias("id"), "type", "content"))).alias("nodes"))
     e = edges.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "edge_type", "score"))).alias("edges"))
     both = n.join(e, "trace_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)))
-    summary = F.struct(F.size("nodes").alias("total_nodes"), F.size("edges").alias("total_edges"))
+    kinds = F.struct(*[F.size(F.filter("nodes", lambda x, t=t: x["type"] == t)).alias(t) for t in graph.TYPES])
+    found = F.array_sort(F.array_distinct(F.transform("edges", lambda x: x["edge_type"])))
+    joins = F.map_from_arrays(found, F.transform(found, lambda t: F.size(F.filter("edges", lambda x: x["edge_type"] == t))))
+    summary = F.struct(F.size("nodes").alias("total_nodes"), F.size("edges").alias("total_edges"), kinds.alias("node_types"), joins.alias("edge_types"))
     return both.select("trace_id", F.to_json(F.struct(summary.alias("summary"), "nodes", "edges")).alias("graph"))
 
 

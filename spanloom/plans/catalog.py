@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom import lenses
 from spanloom.functions import numbers, text
-from spanloom.operators import agents, alignment, digests, extraction, graph, graph_algorithms, judgements, monitoring, ranking, reports, selection, semantics, spans, strategies, suspicion, target_paths, validation
+from spanloom.operators import agents, alignment, digests, evaluation, extraction, graph, graph_algorithms, judgements, judging, monitoring, ranking, reports, selection, semantics, spans, strategies, suspicion, target_paths, validation
 from spanloom.sources import datasets, metrics, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -862,3 +862,133 @@ def q_payload_split(spark, d):
 @query
 def q_payload_manifest(spark, d):
     return datasets.manifest(datasets.by_trace(_payloads(spark, d)))
+
+
+# --- evaluation and judging
+
+
+def _scored(spark, d):
+    pairs = lenses.alignment_pairs(spark, d)
+    told = pairs.withColumn("chain_aware_location_match", F.when(F.col("item") % 3 == 0, "yes").otherwise("no")).withColumn("result_match", F.when(F.col("item") % 4 == 3, "0").otherwise("true"))
+    both = told.withColumn("source", F.when(F.col("item") % 2 == 0, "raw").otherwise("graph"))
+    totals = pairs.groupBy("trace_id", F.col("human_impact").alias("impact")).agg(F.count("*").alias("human_total"))
+    return evaluation.normalised_pairs(both), totals
+
+
+@query
+def q_normalised_pairs(spark, d):
+    return _scored(spark, d)[0].select("trace_id", "item", "source", "semantic", "exact", "chain_aware", "strict")
+
+
+@query
+def q_trace_coverage(spark, d):
+    return evaluation.trace_coverage(*_scored(spark, d))
+
+
+@query
+def q_global_rates(spark, d):
+    return evaluation.global_rates(evaluation.trace_coverage(*_scored(spark, d)))
+
+
+@query
+def q_evaluated(spark, d):
+    n = lenses.table(spark, d, "nation")
+    made = n.where("n_nationkey % 5 != 0").select(F.col("n_nationkey").alias("trace_id"), F.lit("raw").alias("source"), (F.col("n_nationkey") % 3 != 0).alias("ok"))
+    return evaluation.evaluated(made, n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("trace_id")))
+
+
+@query
+def q_matching_errors(spark, d):
+    n = lenses.table(spark, d, "nation")
+    causes = n.select(F.col("n_regionkey").alias("trace_id"), F.col("n_nationkey").alias("item"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("s"), (F.col("n_nationkey") % 6).cast("string"))).otherwise("unknown").alias("location"), F.when(F.col("n_nationkey") % 3 == 0, "Tool").otherwise("plan").alias("module"))
+    errors = n.select(F.col("n_regionkey").alias("trace_id"), F.col("n_nationkey").alias("place"), F.concat(F.lit("s"), (F.col("n_nationkey") % 6).cast("string")).alias("location"), F.when(F.col("n_nationkey") % 4 == 0, "tool").otherwise("other").alias("module"), F.col("n_name").alias("category"))
+    return evaluation.matching_errors(causes, errors).select("trace_id", "item", "error_place", "matched_by")
+
+
+@query
+def q_audit_rows(spark, d):
+    return evaluation.audit_rows(lenses.alignment_pairs(spark, d)).select("trace_id", "item", "relation")
+
+
+@query
+def q_token_limits(spark, d):
+    rows = lenses.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 37 % 200_000).alias("tokens"))
+    first = evaluation.input_limit(F.when(F.col("o_orderkey") % 2 == 0, 60_000).otherwise(0), F.col("o_orderkey") % 500)
+    return rows.select("o_orderkey", first.cast("long").alias("first"), F.array_join(evaluation.retry_limits(first, F.col("tokens"), 4).cast("array<string>"), ",").alias("limits"))
+
+
+def _asked(spark, d):
+    views = {s: lenses.dialogue_turns(spark, d).where(c).select(F.concat("trace_id", F.lit("-"), "step").alias("trace_id"), F.concat(F.lit("w"), F.col("step").cast("string"), F.lit(" seen")).alias("body")) for s, c in (("raw", "step >= 0"), ("graph", "step % 2 = 0"), ("pure_graph", "step % 3 = 0"))}
+    return views
+
+
+@query
+def q_judge_batch(spark, d):
+    views = _asked(spark, d)
+    done = views["raw"].where("trace_id like '%-0'").select(F.col("trace_id").cast("string").alias("trace_id"), F.lit("raw").alias("source"))
+    out = judging.batch(views, done)
+    return out.select("trace_id", "source", "ok", F.get_json_object("judgement", "$.root_causes[0].location").alias("location"), "tries")
+
+
+@query
+def q_judge_usage(spark, d):
+    return judging.usage(judging.batch(_asked(spark, d)).withColumn("prompt_tokens", F.when(F.col("source") == "raw", 10).when(F.col("source") == "graph", 4).otherwise(1).cast("long"))).select("source", "n", "n_ok", "prompt_tokens", "saving")
+
+
+@query
+def q_judge_checks(spark, d):
+    n = lenses.table(spark, d, "nation")
+    told = n.select(F.col("n_nationkey").cast("string").alias("trace_id"), F.lit("raw").alias("source"), (F.col("n_nationkey") % 5 != 0).alias("ok"), F.when(F.col("n_nationkey") % 2 == 0, '{"coverage_checks":{"planning":"FAIL","format":"odd"}}').otherwise("{}").alias("judgement"))
+    return judging.checked(told)
+
+
+@query
+def q_diagnosis(spark, d):
+    n = lenses.table(spark, d, "nation").select(F.col("n_nationkey").alias("trace_id"))
+    causes = n.where("trace_id % 3 = 0").select("trace_id", F.lit(1).alias("place"), F.concat(F.lit("s"), F.col("trace_id").cast("string")).alias("location"), F.lit("said").alias("reason"))
+    chains = n.where("trace_id % 2 = 0").select("trace_id", F.lit(1).alias("rank"), (F.col("trace_id") + 100).alias("node_id"), F.lit("other").alias("cause_type"))
+    findings = n.select("trace_id", F.explode(F.array(F.struct(F.lit("F4").alias("fault_id"), F.lit(0.98).alias("confidence")), F.struct(F.lit("F3").alias("fault_id"), F.lit(0.78).alias("confidence")))).alias("f")).select("trace_id", "f.*")
+    return judging.diagnosis(causes, chains, findings)
+
+
+# --- layers and texts
+
+
+@query
+def q_application_layer(spark, d):
+    nodes, edges = _agent(spark, d)
+    rows = lenses.event_spans(spark, d).select("trace_id", F.when(F.col("tool") == "signup", "LiteLLMModel.__call__").otherwise("SearchTool").alias("name"), F.when(F.col("tool") == "click", F.col("tool")).alias("tool"), "status")
+    return monitoring.application(rows, nodes, edges)
+
+
+@query
+def q_accelerator_flags(spark, d):
+    return monitoring.accelerator_flags(lenses.metric_samples(spark, d)).select("pod", "device_count", "utilization_max", "temperature_max", "error_devices", F.array_join("flags", ",").alias("flags"))
+
+
+@query
+def q_scoped_samples(spark, d):
+    e = lenses.table(spark, d, "events")
+    labels = F.create_map(F.lit("pod"), F.when(F.col("event_type") == "click", F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string"))).otherwise(""), F.lit("gpu"), (F.col("user_id") % 10).cast("string"))
+    samples = e.select(labels.alias("labels"), F.lit("m").alias("name"), "value", "event_id")
+    pods = spark.createDataFrame([(f"p{k}", None) for k in range(4)] + [("gone", "x")], "pod string, namespace string")
+    return monitoring.scoped_samples(samples, pods).groupBy("asked", "scope").agg(F.count("event_id").alias("n"))
+
+
+@query
+def q_host_status(spark, d):
+    probes = lenses.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("system_id"), (F.col("p_size") * 2).cast("double").alias("cpu"), (F.col("p_partkey") % 100).cast("double").alias("memory"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_size") + 50.0).alias("disk"))
+    return monitoring.host_status(probes)
+
+
+@query
+def q_text_parts(spark, d):
+    t = F.col("text")
+    first = F.left(t, F.lit(300))
+    listed = F.concat_ws(",", F.lit(" a"), F.col("lang"), F.lit("a"), F.lit(""))
+    return lenses.table(spark, d, "documents").select(
+        "doc_id", F.size(text.lexical_tokens(t)).cast("long").alias("n_lexical"), F.array_join(text.path_parts(F.concat(F.col("lang"), F.lit(" -> "), F.col("source"), F.lit(", E_1"))), "|").alias("path"), F.array_join(text.id_list(listed), "|").alias("ids"),
+        F.md5(text.dumped(F.struct("doc_id", "lang"), 20)).alias("dumped"), F.md5(text.task_of_input(F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("source").alias("task")))).otherwise(first))).alias("task"), F.length(text.token_cut(first, 40)).alias("cut_chars"),
+        digests.type_of_id(F.concat(F.upper(F.left("lang", F.lit(1))), F.lit("_1"))).alias("kind"), digests.input_mode(F.col("doc_id"), "digest", F.array(F.lit("3"), F.lit("5"))).alias("mode"), F.size(text.task_terms(F.concat(F.lit('say "'), F.col("lang"), F.lit('x" now')))).cast("long").alias("n_terms"),
+        extraction.tool_error_text(F.when(F.col("doc_id") % 2 == 0, "Unset").otherwise("Ok"), F.lit("it FAILED")).alias("tool_error"), F.coalesce(extraction.argument_fault(F.when(F.col("doc_id") % 3 == 0, '{"kwargs":{"":""}}').otherwise('{"kwargs":{"a":"1"}}'), F.lit("{}")), F.lit("")).alias("fault"),
+    )

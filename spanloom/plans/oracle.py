@@ -451,3 +451,58 @@ ORACLE |= {
     "q_payload_split": "SELECT lpad(CAST(user_id AS VARCHAR), 32, '0') AS trace_id, count(*) AS n_spans, count(*) AS spans_in_payload FROM events GROUP BY 1",
     "q_payload_manifest": "SELECT lpad(CAST(user_id AS VARCHAR), 32, '0') AS trace_id, 1::BIGINT AS payloads, count(*) AS n_spans FROM events GROUP BY 1",
 }
+
+# --- evaluation, judging, layers
+
+SCORED = f"""{PAIRS}, sc AS (SELECT trace_id, item, human_impact, auto_impact, CASE WHEN item % 2 = 0 THEN 'raw' ELSE 'graph' END AS source, item % 4 != 3 AS semantic, item % 4 != 3 AND exact AS ex, item % 4 != 3 AND (exact OR item % 3 = 0) AS ch, item % 4 != 3 AND exact AND human_impact = auto_impact AS st FROM ju)"""
+COVERED = f"""{SCORED}, ho AS (SELECT trace_id, human_impact AS impact, count(*) AS human_total FROM ju GROUP BY ALL), hi AS (SELECT trace_id, source, human_impact AS impact, policy, count(*) FILTER (hit) AS matched FROM (
+    SELECT *, 'semantic' AS policy, semantic AS hit FROM sc UNION ALL SELECT *, 'exact', ex FROM sc UNION ALL SELECT *, 'chain_aware', ch FROM sc UNION ALL SELECT *, 'strict', st FROM sc) GROUP BY ALL),
+  ev AS (SELECT t.trace_id, s.source, p.policy, i.impact FROM (SELECT DISTINCT trace_id FROM ho) t CROSS JOIN (VALUES ('raw'), ('graph')) s(source) CROSS JOIN (VALUES ('semantic'), ('exact'), ('chain_aware'), ('strict')) p(policy) CROSS JOIN (VALUES ('LOW'), ('MEDIUM'), ('HIGH')) i(impact)),
+  co AS (SELECT trace_id, source, policy, CAST(sum(coalesce(human_total, 0)) AS BIGINT) AS human_total, CAST(sum(least(coalesce(matched, 0), coalesce(human_total, 0))) AS BIGINT) AS matched, round(avg(CASE WHEN coalesce(human_total, 0) > 0 THEN round(least(coalesce(matched, 0), human_total)::DOUBLE / human_total, 4) ELSE 1.0 END), 4) AS macro
+    FROM ev LEFT JOIN ho USING (trace_id, impact) LEFT JOIN hi USING (trace_id, source, policy, impact) GROUP BY ALL),
+  cv AS (SELECT trace_id, source, policy, human_total, matched, CASE WHEN human_total > 0 THEN round(matched::DOUBLE / human_total, 4) ELSE 0.0 END AS coverage, round(100 * CASE WHEN human_total > 0 THEN round(matched::DOUBLE / human_total, 4) ELSE 0.0 END, 2) AS coverage_percent, macro FROM co)"""
+ASKED = "ak AS (SELECT conv_id || '-' || turn AS trace_id, turn, source FROM conversations CROSS JOIN (VALUES ('raw', 1), ('graph', 2), ('pure_graph', 3)) v(source, k) WHERE turn % k = 0)"
+ORACLE |= {
+    "q_normalised_pairs": f"WITH {SCORED} SELECT trace_id, item, source, semantic, ex AS exact, ch AS chain_aware, st AS strict FROM sc",
+    "q_trace_coverage": f"WITH {COVERED} SELECT * FROM cv",
+    "q_global_rates": f"WITH {COVERED} SELECT source, policy, count(*) AS traces, CAST(sum(human_total) AS BIGINT) AS human_total, CAST(sum(matched) AS BIGINT) AS matched, round(avg(coverage), 4) AS mean_coverage, round(avg(macro), 4) AS mean_macro, round(sum(matched)::DOUBLE / sum(human_total)::DOUBLE, 6) AS hit_rate FROM cv GROUP BY ALL",
+    "q_evaluated": "SELECT n_nationkey AS trace_id, CASE WHEN n_nationkey % 5 != 0 THEN 'raw' END AS source, CASE WHEN n_nationkey % 5 = 0 THEN 'not judged' WHEN n_nationkey % 2 = 1 THEN 'no annotation' WHEN n_nationkey % 3 = 0 THEN 'judge failed' ELSE 'scored' END AS status FROM nation WHERE n_nationkey % 5 != 0 OR n_nationkey % 2 = 0",
+    "q_matching_errors": """WITH c AS (SELECT n_regionkey AS trace_id, n_nationkey AS item, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 6 END AS loc, n_nationkey % 3 = 0 AS tool FROM nation),
+      h AS (SELECT c.trace_id, c.item, min(n_nationkey) AS p FROM c JOIN nation ON n_regionkey = c.trace_id AND n_nationkey % 6 = c.loc GROUP BY ALL), m AS (SELECT c.trace_id, c.item, min(n_nationkey) AS p FROM c JOIN nation ON n_regionkey = c.trace_id AND c.tool AND n_nationkey % 4 = 0 GROUP BY ALL)
+      SELECT trace_id, item, coalesce(h.p, m.p) AS error_place, CASE WHEN h.p IS NOT NULL THEN 'location' WHEN m.p IS NOT NULL THEN 'module' END AS matched_by FROM c LEFT JOIN h USING (trace_id, item) LEFT JOIN m USING (trace_id, item)""",
+    "q_audit_rows": f"WITH {PAIRS} SELECT trace_id, item, CASE WHEN chain_aware THEN 'adjacent' WHEN a IS NULL THEN 'unknown' ELSE 'different' END AS relation FROM ju WHERE NOT exact",
+    "q_token_limits": """WITH t AS (SELECT o_orderkey, o_orderkey * 37 % 200000 AS tokens, CASE WHEN o_orderkey % 2 = 0 THEN least(60000, 131072 - 2200 - 4096 - o_orderkey % 500) ELSE 131072 - 2200 - 4096 - o_orderkey % 500 END AS f FROM orders),
+      s AS (SELECT *, greatest(512, least(f, tokens)) AS s, least(tokens, 8000) AS low FROM t), l AS (SELECT o_orderkey, f, tokens, s, list_distinct(list_filter([greatest(low, s // 2), greatest(low, s // 4), greatest(low, s // 8)], lambda x: x < s)) AS more FROM s)
+      SELECT o_orderkey, f AS first, CASE WHEN tokens <= 0 THEN '0' ELSE array_to_string(list_concat([s], list_reverse_sort(more)), ',') END AS limits FROM l""",
+    "q_judge_batch": f"WITH {ASKED} SELECT trace_id, source, true AS ok, 'w' || turn AS location, 1 AS tries FROM ak WHERE NOT (source = 'raw' AND turn = 0)",
+    "q_judge_usage": f"WITH {ASKED}, u AS (SELECT source, count(*) AS n, CAST(count(*) * CASE source WHEN 'raw' THEN 10 WHEN 'graph' THEN 4 ELSE 1 END AS BIGINT) AS p FROM ak GROUP BY source) SELECT source, n, n AS n_ok, p AS prompt_tokens, round(((SELECT p FROM u WHERE source = 'raw') - p)::DOUBLE / (SELECT p FROM u WHERE source = 'raw'), 4) AS saving FROM u",
+    "q_judge_checks": """WITH c("check") AS (VALUES ('task_understanding'), ('planning'), ('tool_selection'), ('tool_arguments'), ('tool_results'), ('evidence_use'), ('error_recovery'), ('format'), ('final_answer'))
+      SELECT CAST(n_nationkey AS VARCHAR) AS trace_id, 'raw' AS source, c."check", CASE WHEN n_nationkey % 2 = 0 AND c."check" = 'planning' THEN 'fail' ELSE 'not_checked' END AS verdict FROM nation CROSS JOIN c WHERE n_nationkey % 5 != 0""",
+    "q_diagnosis": "SELECT CAST(n_nationkey AS VARCHAR) AS trace_id, CASE WHEN n_nationkey % 3 = 0 THEN 's' || n_nationkey WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey + 100 AS VARCHAR) ELSE 'unknown' END AS location, CASE WHEN n_nationkey % 3 = 0 THEN 'said' WHEN n_nationkey % 2 = 0 THEN 'other' ELSE 'F4' END AS reason, CASE WHEN n_nationkey % 3 = 0 THEN 'judgement' WHEN n_nationkey % 2 = 0 THEN 'chain' ELSE 'rule' END AS basis FROM nation",
+    "q_application_layer": f"""WITH {AGENT}, e AS (SELECT trace_id, count(*) AS edge_count FROM ge GROUP BY 1)
+      SELECT gn.trace_id, count(*) AS span_count, count(*) FILTER (tool = 'signup') AS llm_calls, count(*) FILTER (tool != 'signup') AS tool_calls, count(*) FILTER (type = 'Error') AS failed_spans, count(*) AS node_count, count(*) FILTER (type = 'Error') AS error_nodes, coalesce(any_value(edge_count), 0) AS edge_count, CASE WHEN count(*) FILTER (type = 'Error') > 0 THEN 'critical' ELSE 'healthy' END AS status FROM gn LEFT JOIN e ON e.trace_id = gn.trace_id GROUP BY gn.trace_id""",
+    "q_accelerator_flags": """WITH s AS (SELECT l_returnflag AS pod, l_suppkey AS device, CAST(l_linenumber % 4 AS INTEGER) AS m, arg_max(l_quantity, row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS v FROM lineitem GROUP BY ALL),
+      w AS (SELECT pod, device, max(v) FILTER (m = 0) AS u, max(v) FILTER (m = 2) AS t, max(v) FILTER (m = 3) AS e FROM s GROUP BY ALL), g AS (SELECT pod, count(*) AS device_count, max(u) AS utilization_max, max(t) AS temperature_max, count(*) FILTER (e != 0) AS error_devices FROM w GROUP BY 1)
+      SELECT *, array_to_string(list_filter([CASE WHEN utilization_max >= 95 THEN 'utilization_saturated' END, CASE WHEN temperature_max >= 85 THEN 'temperature_critical' END, CASE WHEN error_devices > 0 THEN 'device_error' END], lambda x: x IS NOT NULL), ',') AS flags FROM g""",
+    "q_scoped_samples": """WITH s AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'p' || user_id % 4 ELSE '' END AS pod, user_id % 10 AS dev FROM events), d AS (SELECT DISTINCT pod AS asked, dev FROM s WHERE pod != ''), r AS (SELECT pod AS asked, event_id FROM s WHERE pod != '' UNION SELECT asked, event_id FROM d JOIN s USING (dev))
+      SELECT asked, 'pod' AS scope, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'gone', 'exporter', 0""",
+    "q_host_status": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS system_id, p_size * 2.0 AS c, (p_partkey % 100)::DOUBLE AS m, CASE WHEN p_partkey % 9 != 0 THEN p_size + 50.0 END AS d FROM part),
+      r AS (SELECT system_id, CASE WHEN c >= 95 THEN 3 WHEN c >= 80 THEN 2 ELSE 1 END AS c, CASE WHEN m >= 95 THEN 3 WHEN m >= 80 THEN 2 ELSE 1 END AS m, CASE WHEN d IS NULL THEN 0 WHEN d >= 95 THEN 3 WHEN d >= 85 THEN 2 ELSE 1 END AS d FROM p), n AS (SELECT ['unknown', 'ok', 'warning', 'critical'] AS n)
+      SELECT system_id, n[c + 1] AS cpu_status, n[m + 1] AS memory_status, n[d + 1] AS disk_status, n[greatest(c, m, d) + 1] AS status FROM r CROSS JOIN n""",
+}
+LEXICAL = "len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_\\-/]{3,}'), lambda x: lower(x)), lambda x: NOT list_contains(['the','and','for','with','that','this','from','into','then','have','has','had','will','need','tool','args','params','output','input','message','step','final','answer'], x))))"
+ORACLE["q_text_parts"] = f"""WITH RECURSIVE q AS (SELECT doc_id, left(text, 300) AS f FROM documents), sz AS (SELECT doc_id, f, unnest(range(0, 301)) AS n FROM q), ct AS (SELECT doc_id, f, n, left(f, CAST(floor(n * 2 / 3) AS INTEGER)) || chr(10) || '...[cut]...' || chr(10) || right(f, CAST(n - floor(n * 2 / 3) AS INTEGER)) AS cut FROM sz WHERE n < length(f)),
+      es AS (SELECT doc_id, n, length(cut) AS chars, length(cut) AS len, length(regexp_replace(cut, '[^\\x00-\\x7f]', '', 'g')) AS asc_ FROM ct), ok AS (SELECT doc_id, n, chars, (asc_ + 2) // 3 + (len - asc_ + 1) // 2 <= 40 AS fits FROM es),
+      best AS (SELECT doc_id, max(n) AS n FROM ok o WHERE fits AND NOT EXISTS (SELECT 1 FROM ok x WHERE x.doc_id = o.doc_id AND x.n < o.n AND NOT x.fits) GROUP BY doc_id),
+      whole AS (SELECT doc_id, (length(regexp_replace(f, '[^\\x00-\\x7f]', '', 'g')) + 2) // 3 + (length(f) - length(regexp_replace(f, '[^\\x00-\\x7f]', '', 'g')) + 1) // 2 <= 40 AS fits, length(f) AS chars FROM q)
+      SELECT d.doc_id, {LEXICAL} AS n_lexical, lang || '|' || array_to_string(list_filter(string_split(source, ' '), lambda x: x != ''), '|') || '|E_1' AS path, CASE WHEN lang = 'a' THEN 'a' ELSE 'a|' || lang END AS ids,
+        md5(CASE WHEN length('{{"doc_id":' || d.doc_id || ',"lang":"' || lang || '"}}') > 20 THEN left('{{"doc_id":' || d.doc_id || ',"lang":"' || lang || '"}}', 20) || '...[truncated]' ELSE '{{"doc_id":' || d.doc_id || ',"lang":"' || lang || '"}}' END) AS dumped,
+        md5(CASE WHEN d.doc_id % 2 = 0 THEN regexp_replace(source, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(left(text, 300), '^\\s+|\\s+$', '', 'g') END) AS task, CAST(CASE WHEN whole.fits THEN whole.chars ELSE coalesce(best.n, 0) + 13 END AS INTEGER) AS cut_chars,
+        CASE upper(left(lang, 1)) WHEN 'F' THEN 'Fact' WHEN 'E' THEN 'Error' WHEN 'I' THEN 'Intent' WHEN 'P' THEN 'Planning' WHEN 'A' THEN 'Action' WHEN 'C' THEN 'Conclusion' ELSE 'unknown' END AS kind, CASE WHEN d.doc_id IN (3, 5) THEN 'full' ELSE 'digest' END AS mode,
+        1::BIGINT AS n_terms, d.doc_id % 2 = 0 AS tool_error, CASE WHEN d.doc_id % 3 = 0 THEN 'called with empty argument key in kwargs' ELSE 'expects empty params but received kwargs' END AS fault
+      FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id JOIN whole ON whole.doc_id = d.doc_id"""
+ORACLE["q_graph_json"] = f"""WITH {GRAPH}, n AS (SELECT trace_id, list(struct_pack(ord := ord, id := node_id, type := type, content := content) ORDER BY ord) AS nodes, count(*) AS c, """ + ", ".join(f"count(*) FILTER (type = '{t}') AS {t.lower()}" for t in ("Intent", "Planning", "Action", "Fact", "Conclusion", "Error")) + """ FROM gn GROUP BY 1),
+      e AS (SELECT trace_id, list(struct_pack(source := source, target := target, edge_type := edge_type, score := score) ORDER BY source, target, edge_type) AS edges, count(*) AS m FROM ge GROUP BY 1),
+      k AS (SELECT trace_id, map_from_entries(list((edge_type, c) ORDER BY edge_type)) AS kinds FROM (SELECT trace_id, edge_type, count(*) AS c FROM ge GROUP BY ALL) GROUP BY 1)
+      SELECT n.trace_id, CAST(to_json(struct_pack(summary := struct_pack(total_nodes := c, total_edges := coalesce(m, 0), node_types := struct_pack(Intent := intent, Planning := planning, Action := action, Fact := fact, Conclusion := conclusion, Error := error), edge_types := coalesce(kinds, MAP {})), nodes := nodes, edges := coalesce(edges, []))) AS VARCHAR) AS graph
+      FROM n LEFT JOIN e ON e.trace_id = n.trace_id LEFT JOIN k ON k.trace_id = n.trace_id"""
