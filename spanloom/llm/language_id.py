@@ -20,6 +20,8 @@ from spanloom.llm.textscan import keys64
 
 #: Buckets of hashed n-grams; orders of the n-grams.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
+#: Languages that are learnt at most: their table is sent to all tasks, 128 KB each.
+MOST_LANGUAGES = 256
 #: Texts are scored in pieces of so many bytes, to bound memory.
 PIECE = 1 << 18
 LANG_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -76,12 +78,15 @@ def pieces(flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         low = high
 
 
-def fit_languages(train: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, their log-probabilities (bucket x language) and log-priors. ``train``: text, lang."""
-    langs = sorted(r.lang for r in train.select("lang").distinct().collect())
+def fit_languages(train: DataFrame, smooth: float = 0.5, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, their log-probabilities (bucket x language) and log-priors. ``train``: text, lang.
+
+    Of more than ``most`` languages those with most rows are learnt (ties by name), which bounds the table.
+    """
+    langs = sorted(r.lang for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
     if not langs:
         return [], np.zeros((BUCKETS, 0)), np.zeros(0)
-    index = pa.array(langs)
+    index, train = pa.array(langs), train.where(F.col("lang").isin(langs))
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros((len(langs), BUCKETS + 1))
@@ -105,7 +110,8 @@ def predict_language(docs: DataFrame, held: int = 1, modulus: int = 3) -> DataFr
     Learnt from text and non-null lang of rows with crc32(doc_id) mod ``modulus`` != ``held``. ``score`` is the
     posterior probability of the prediction. Text that is null or has no letter, and any text when
     nothing was learnt, is ``und`` with score 0. A null doc_id is held out. Ties go to the first language
-    in order; repeated rows are predicted each.
+    in order; repeated rows are predicted each. Very long texts are read whole, in pieces. An empty table gives no rows; further
+    columns, and columns of the result's names, are ignored. At most MOST_LANGUAGES languages are learnt.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(True))
     rows = texts_of(docs, "lang").withColumn("held_out", out)

@@ -326,3 +326,98 @@ def test_accepted_equals_the_rules(spark, docs, empty):
     got = quality_rules.accepted(docs, labels)
     assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == kept
     assert quality_rules.accepted(empty, labels).count() == 0
+
+
+def test_language_counts_by_hand(spark, monkeypatch):
+    """The table of log-probabilities from n-grams counted one by one, and the predictions from it; of too many languages the commonest are learnt."""
+    from spanloom.llm.textscan import keys64
+
+    rows = [(i, t, x) for i, (t, x) in enumerate([("Ab 1!", "u"), ("bab", "u"), ("zÀz 22", "v"), ("z  z", "v"), ("abz", "w"), ("", "u")] * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keys = keys64(3, 71).astype(np.uint32)
+
+    def plain(text):
+        code = [ord(c.lower()) if c.isalpha() else 0x30 if c.isdigit() else 0x20 for c in text]
+        out = Counter()
+        for n in (1, 2, 3):
+            for k in range(len(code) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = ((h ^ code[k + j]) * int(keys[j])) & 0xFFFFFFFF
+                    h ^= h >> 15
+                if any(c != 0x20 for c in code[k : k + n]):
+                    out[((h * 0x9E3779B1) & 0xFFFFFFFF) >> 18] += 1
+        return out
+
+    langs, table, prior = language_id.fit_languages(df.select("text", "lang"))
+    assert langs == ["u", "v", "w"]
+    for i, x in enumerate(langs):
+        count = sum((plain(t) for _, t, l in rows if l == x), Counter())
+        seen = np.full(language_id.BUCKETS, 0.5)
+        for bucket, n in count.items():
+            seen[bucket] += n
+        assert np.allclose(table[:, i], np.log(seen / seen.sum()))
+    assert np.allclose(np.exp(prior), [0.5, 1 / 3, 1 / 6])
+    train = {r.doc_id for r in df.where("crc32(cast(doc_id as string)) % 3 != 1").select("doc_id").collect()}
+    langs, table, prior = language_id.fit_languages(df.where(F.col("doc_id").isin(list(train))).select("text", "lang"))
+    for r in language_id.predict_language(df).collect():
+        text = rows[r.doc_id][1]
+        margin = prior + sum((n * table[b] for b, n in plain(text).items()), np.zeros(len(langs)))
+        best = int(margin.argmax())
+        want = ("und", 0.0) if not text else (langs[best], 1 / np.exp(margin - margin.max()).sum())
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-9 and r.held_out == (r.doc_id not in train)
+    assert language_id.fit_languages(df.select("text", "lang"), most=2)[0] == ["u", "v"]
+
+
+def test_quality_fit_by_plain_algebra(spark):
+    """Ridge weights from the normal equations over all rows at once, and the calibration by pooling neighbours until they ascend."""
+    from spanloom.llm.textscan import COUNTS, ratios
+
+    r = np.random.default_rng(7)
+    n = 400
+    count = {c: r.integers(1, 500, n) for c in COUNTS}
+    y = (count["n_words"] + r.normal(0, 120, n) > 250).astype(int)
+    df = spark.createDataFrame([(*(int(count[c][i]) for c in COUNTS), int(y[i])) for i in range(n)], ", ".join(f"{c} long" for c in COUNTS) + ", y int").repartition(7)
+    model = quality_classifier.fit_classifier(df)
+    x = ratios(count)
+    assert np.allclose(model.fourier.mean, x.mean(0))
+    z = model.fourier(x)
+    penalty = np.diag([*[1e-4 * n] * (z.shape[1] - 1), 1e-9 * n])
+    raw = z @ np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(model.raw(x), raw, atol=1e-6)
+    cell = model.cell(model.raw(x))
+    full = np.unique(cell)
+    groups = [[y[cell == c].mean(), (cell == c).sum()] for c in full]
+    steps = [[v, w, 1] for v, w in groups]
+    k = 0
+    while k < len(steps) - 1:  # pool any two neighbours that don't ascend, from the left, until all do
+        if steps[k][0] >= steps[k + 1][0]:
+            (v, w, m), (v2, w2, m2) = steps[k], steps[k + 1]
+            steps[k : k + 2] = [[(v * w + v2 * w2) / (w + w2), w + w2, m + m2]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    want = np.maximum.accumulate(np.concatenate([np.full(m, (v * w + y.mean()) / (w + 1)) for v, w, m in steps]))
+    assert np.allclose(model.calibrated[full], np.clip(want, 0, 1))
+    assert (np.diff(model.calibrated) >= -1e-12).all() and ((model.score(x) >= 0.5) == y).mean() > 0.7
+
+
+def test_trees_by_plain_recursion(spark, docs):
+    """What the rules keep follows from walking every tree node by node."""
+    from spanloom.llm.docstats import doc_stats
+    from spanloom.llm.textscan import COUNTS, RATIOS, ratios
+
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 60, 2)], "doc_id long, quality int")
+    trees = quality_rules.fit_rules(doc_stats(docs), labels)
+    rows = doc_stats(docs).collect()
+    x = ratios({c: np.array([r[c] for r in rows]) for c in COUNTS})
+
+    def walk(node, row):
+        if trees.left[node] == node:
+            return trees.value[node]
+        return walk((trees.left if row[trees.feature[node]] <= trees.threshold[node] else trees.right)[node], row)
+
+    assert len(trees.roots) and x.shape[1] == len(RATIOS)
+    plain = [trees.base + sum(walk(root, row) for root in trees.roots) for row in x]
+    want = Counter((r.doc_id, r.n_words, bool(r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words and 1 / (1 + np.exp(-m)) >= 0.5)) for r, m in zip(rows, plain, strict=True))
+    assert Counter((r.doc_id, r.n_words, r.kept) for r in quality_rules.apply_rules(docs, labels).collect()) == want
