@@ -21,7 +21,8 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("node_id").alias("id"), "type", "content"))).alias("nodes"))
     e = edges.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "edge_type", "score"))).alias("edges"))
     both = n.join(e, "trace_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)))
-    kinds = F.struct(*[F.size(F.filter("nodes", lambda x, t=t: x["type"] == t)).alias(t) for t in graph.TYPES])
+    of_type = lambda t: F.size(F.filter("nodes", lambda x: x["type"] == t)).alias(t)
+    kinds = F.struct(*[of_type(t) for t in graph.TYPES])
     found = F.array_sort(F.array_distinct(F.transform("edges", lambda x: x["edge_type"])))
     joins = F.map_from_arrays(found, F.transform(found, lambda t: F.size(F.filter("edges", lambda x: x["edge_type"] == t))))
     summary = F.struct(F.size("nodes").alias("total_nodes"), F.size("edges").alias("total_edges"), kinds.alias("node_types"), joins.alias("edge_types"))
