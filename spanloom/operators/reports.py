@@ -67,6 +67,25 @@ def markdown_report(findings: DataFrame) -> DataFrame:
     return lines.select("trace_id", F.concat(head, F.array_join("lines", "\n"), F.lit("\n")).alias("report"))
 
 
+def diagnostic_markdown(findings: DataFrame, causes: DataFrame, chains: DataFrame) -> DataFrame:
+    """Of each trace, a diagnosis as a Markdown document (trace_id, report): severity, root causes, chains and rule findings, each where there are any.
+
+    ``causes``: trace_id, place, location, reason, impact. ``chains``: trace_id, rank, path (array), score. ``findings`` as ``fault_findings`` gives them.
+    """
+    rank = F.element_at(F.create_map(*[F.lit(v) for kv in IMPACT_RANK.items() for v in kv]), F.col("impact"))
+    cell = markdown_cell
+    table = lambda df, order, line, name: df.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias(name))
+    key = lambda df: df.withColumn("trace_id", F.col("trace_id").cast("string"))
+    worst = key(causes).groupBy("trace_id").agg(F.max_by("impact", rank).alias("severity"))
+    one = table(key(causes), "place", F.concat(F.lit("| "), cell(F.col("location")), F.lit(" | "), cell(F.col("impact")), F.lit(" | "), cell(F.col("reason")), F.lit(" |")), "causes")
+    two = table(key(chains), "rank", F.concat(F.col("rank").cast("string"), F.lit(". "), F.array_join(F.col("path").cast("array<string>"), " -> "), F.lit(" ("), F.format_string("%.4f", "score"), F.lit(")")), "chains")
+    three = table(key(findings), "fault_id", F.concat(F.lit("| "), cell(F.col("fault_id")), F.lit(" | "), cell(F.col("name")), F.lit(" | "), F.format_string("%.2f", "confidence"), F.lit(" |")), "rules")
+    out = worst.join(one, "trace_id", "full").join(two, "trace_id", "full").join(three, "trace_id", "full")
+    part = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(head), F.col(c), F.lit("\n")))
+    body = F.concat_ws("", F.lit("# Diagnosis of trace "), F.col("trace_id"), F.lit("\n\n- severity: "), F.coalesce("severity", F.lit("unknown")), F.lit("\n"), part("\n## Root causes\n\n| location | impact | reason |\n|-|-|-|\n", "causes"), part("\n## Causal chains\n\n", "chains"), part("\n## Rule findings\n\n| fault | name | confidence |\n|-|-|-|\n", "rules"))
+    return out.select("trace_id", body.alias("report"))
+
+
 Judge = Callable[[str], str]
 
 

@@ -992,3 +992,48 @@ def q_text_parts(spark, d):
         digests.type_of_id(F.concat(F.upper(F.left("lang", F.lit(1))), F.lit("_1"))).alias("kind"), digests.input_mode(F.col("doc_id"), "digest", F.array(F.lit("3"), F.lit("5"))).alias("mode"), F.size(text.task_terms(F.concat(F.lit('say "'), F.col("lang"), F.lit('x" now')))).cast("long").alias("n_terms"),
         extraction.tool_error_text(F.when(F.col("doc_id") % 2 == 0, "Unset").otherwise("Ok"), F.lit("it FAILED")).alias("tool_error"), F.coalesce(extraction.argument_fault(F.when(F.col("doc_id") % 3 == 0, '{"kwargs":{"":""}}').otherwise('{"kwargs":{"a":"1"}}'), F.lit("{}")), F.lit("")).alias("fault"),
     )
+
+
+# --- scopes, resources, uploads, exported graphs
+
+
+@query
+def q_inferred_scopes(spark, d):
+    e = lenses.event_spans(spark, d)
+    run, spawn = (F.col("tool") == "signup") & (F.col("span_id") % 2 == 0), (F.col("tool") == "signup") & (F.col("span_id") % 2 == 1)
+    rows = e.select("trace_id", "span_id", "parent_id", "pos", F.when(run, "CodeAgent.run").otherwise("step").alias("name"), F.when(spawn, "spawn_agent").otherwise("").alias("tool"), F.col("input").alias("task"))
+    out = agents.inferred_scopes(rows)
+    return out.select("trace_id", "span_id", "agent_id", "agent_role", "agent_depth", "parent_agent_id", "spawn_span_id")
+
+
+@query
+def q_virtualization(spark, d):
+    k = F.col("user_id") % 4
+    key = F.when(k == 0, "k8s.pod.name").when(k == 1, "cloud.region").when(k == 2, "host.name").otherwise("other")
+    rows = lenses.table(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("place"), F.create_map(key, F.col("event_type"), F.lit("service.name"), F.when(k < 2, F.col("event_type")).otherwise("")).alias("attributes"))
+    return agents.virtualization(rows)
+
+
+@query
+def q_uploads(spark, d):
+    n = lenses.table(spark, d, "nation")
+    files = n.select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("path"), F.when(F.col("n_nationkey") % 3 == 0, "{}").when(F.col("n_nationkey") % 3 == 1, "{oops").otherwise(" ").alias("value"))
+    return datasets.uploaded(files, 20).select("path", "ok", "error")
+
+
+@query
+def q_exported_graphs(spark, d):
+    nodes, edges = _graph(spark, d)
+    files = reports.graph_json(nodes, edges).withColumnRenamed("graph", "value")
+    n, e = datasets.graph_tables(files)
+    back = n.groupBy("trace_id").agg(F.count("*").alias("nodes"), F.max_by("node_id", "ord").alias("last"))
+    return back.join(e.groupBy("trace_id").agg(F.count("*").alias("edges"), F.round(F.sum("score"), 4).alias("score")), "trace_id", "left")
+
+
+@query
+def q_diagnostic_report(spark, d):
+    n = lenses.table(spark, d, "nation").select(F.col("n_nationkey").alias("trace_id"))
+    causes = n.where("trace_id % 2 = 0").select("trace_id", F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.concat(F.lit(f"s{k}-"), F.col("trace_id").cast("string")).alias("location"), F.lit("a|b").alias("reason"), F.lit(i).alias("impact")) for k, i in ((1, "LOW"), (2, "HIGH"))])).alias("c")).select("trace_id", "c.*")
+    chains = n.where("trace_id % 3 = 0").select("trace_id", F.lit(1).alias("rank"), F.array(F.col("trace_id"), F.col("trace_id") + 1).alias("path"), F.lit(0.5).alias("score"))
+    findings = n.where("trace_id % 5 = 0").select("trace_id", F.lit("F4").alias("fault_id"), F.lit("Execution crash").alias("name"), F.lit(0.98).alias("confidence"))
+    return reports.diagnostic_markdown(findings, causes, chains)

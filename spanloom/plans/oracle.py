@@ -506,3 +506,25 @@ ORACLE["q_graph_json"] = f"""WITH {GRAPH}, n AS (SELECT trace_id, list(struct_pa
       k AS (SELECT trace_id, map_from_entries(list((edge_type, c) ORDER BY edge_type)) AS kinds FROM (SELECT trace_id, edge_type, count(*) AS c FROM ge GROUP BY ALL) GROUP BY 1)
       SELECT n.trace_id, CAST(to_json(struct_pack(summary := struct_pack(total_nodes := c, total_edges := coalesce(m, 0), node_types := struct_pack(Intent := intent, Planning := planning, Action := action, Fact := fact, Conclusion := conclusion, Error := error), edge_types := coalesce(kinds, MAP {})), nodes := nodes, edges := coalesce(edges, []))) AS VARCHAR) AS graph
       FROM n LEFT JOIN e ON e.trace_id = n.trace_id LEFT JOIN k ON k.trace_id = n.trace_id"""
+ORACLE |= {
+    "q_inferred_scopes": f"""WITH RECURSIVE {ES}, up AS (SELECT trace_id, span_id, parent_id AS anc, 1 AS dist FROM es WHERE parent_id IS NOT NULL UNION ALL SELECT up.trace_id, up.span_id, e.parent_id, up.dist + 1 FROM up JOIN es e ON e.trace_id = up.trace_id AND e.span_id = up.anc WHERE e.parent_id IS NOT NULL),
+      rn AS (SELECT trace_id, span_id, pos FROM es WHERE tool = 'signup' AND span_id % 2 = 0), sw AS (SELECT trace_id, span_id, pos FROM es WHERE tool = 'signup' AND span_id % 2 = 1),
+      cl AS (SELECT s.trace_id, s.span_id AS spawn, any_value(s.pos) AS pos, arg_min(r.span_id, (up.dist, r.pos)) AS run FROM sw s JOIN up ON up.trace_id = s.trace_id AND up.anc = s.span_id JOIN rn r ON r.trace_id = up.trace_id AND r.span_id = up.span_id GROUP BY s.trace_id, s.span_id),
+      bg AS (SELECT trace_id, run, arg_max(spawn, pos) AS spawn FROM cl GROUP BY ALL), ab AS (SELECT trace_id, span_id, anc, dist FROM up UNION ALL SELECT trace_id, span_id, span_id, 0 FROM es),
+      nr AS (SELECT ab.trace_id, ab.span_id, arg_min(anc, dist) AS near FROM ab JOIN bg ON bg.trace_id = ab.trace_id AND bg.run = ab.anc GROUP BY ALL), tp AS (SELECT ab.trace_id, ab.span_id, arg_max(anc, dist) AS top FROM ab JOIN rn ON rn.trace_id = ab.trace_id AND rn.span_id = ab.anc GROUP BY ALL),
+      ow AS (SELECT es.trace_id, es.span_id, coalesce(near, top) AS agent, near IS NOT NULL AS sub FROM es LEFT JOIN nr ON nr.trace_id = es.trace_id AND nr.span_id = es.span_id LEFT JOIN tp ON tp.trace_id = es.trace_id AND tp.span_id = es.span_id),
+      pa AS (SELECT bg.trace_id, bg.run, bg.spawn, ow.agent AS parent FROM bg JOIN ow ON ow.trace_id = bg.trace_id AND ow.span_id = bg.spawn),
+      dp AS (SELECT trace_id, run, parent AS spot, 1 AS depth FROM pa WHERE parent IS NOT NULL UNION ALL SELECT dp.trace_id, dp.run, pa.parent, dp.depth + 1 FROM dp JOIN pa ON pa.trace_id = dp.trace_id AND pa.run = dp.spot WHERE pa.parent IS NOT NULL),
+      dm AS (SELECT trace_id, run, max(depth) AS depth FROM dp GROUP BY ALL)
+      SELECT ow.trace_id, ow.span_id, CAST(agent AS VARCHAR) AS agent_id, CASE WHEN sub THEN 'subagent' ELSE 'main' END AS agent_role, CASE WHEN sub THEN coalesce(depth, 0) ELSE 0 END AS agent_depth, pa.parent AS parent_agent_id, pa.spawn AS spawn_span_id
+      FROM ow LEFT JOIN pa ON pa.trace_id = ow.trace_id AND pa.run = ow.agent LEFT JOIN dm ON dm.trace_id = ow.trace_id AND dm.run = ow.agent""",
+    "q_virtualization": """WITH e AS (SELECT user_id AS trace_id, user_id % 4 AS k, event_type, event_id FROM events), f AS (SELECT trace_id, any_value(k) AS k, count(DISTINCT event_type) AS n FROM e GROUP BY 1)
+      SELECT trace_id, CASE k WHEN 0 THEN 'Kubernetes' WHEN 1 THEN 'Cloud VM' WHEN 2 THEN 'Host/VM' ELSE 'unknown' END AS runtime, CASE WHEN k < 2 THEN n ELSE 0 END AS services, CASE WHEN k = 0 THEN 1 ELSE 0 END AS containers, CASE k WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS attributes, CASE WHEN k = 3 THEN 'unknown' ELSE 'healthy' END AS status FROM f""",
+    "q_uploads": "WITH n AS (SELECT n_nationkey AS k, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS path, CASE WHEN n_nationkey >= 20 THEN 'more than 20 files' WHEN n_nationkey % 3 = 2 THEN 'empty file' WHEN n_nationkey % 3 = 1 THEN 'no JSON' END AS error FROM nation) SELECT path, error IS NULL AS ok, error FROM n",
+    "q_exported_graphs": f"WITH {GRAPH}, e AS (SELECT trace_id, count(*) AS edges, round(sum(score), 4) AS score FROM ge GROUP BY 1) SELECT gn.trace_id, count(*) AS nodes, CAST(arg_max(node_id, ord) AS VARCHAR) AS last, any_value(edges) AS edges, any_value(score) AS score FROM gn LEFT JOIN e ON e.trace_id = gn.trace_id GROUP BY gn.trace_id",
+    "q_diagnostic_report": """SELECT CAST(k AS VARCHAR) AS trace_id, '# Diagnosis of trace ' || k || chr(10) || chr(10) || '- severity: ' || CASE WHEN k % 2 = 0 THEN 'HIGH' ELSE 'unknown' END || chr(10)
+        || CASE WHEN k % 2 = 0 THEN chr(10) || '## Root causes' || chr(10) || chr(10) || '| location | impact | reason |' || chr(10) || '|-|-|-|' || chr(10) || '| s1-' || k || ' | LOW | a\\|b |' || chr(10) || '| s2-' || k || ' | HIGH | a\\|b |' || chr(10) ELSE '' END
+        || CASE WHEN k % 3 = 0 THEN chr(10) || '## Causal chains' || chr(10) || chr(10) || '1. ' || k || ' -> ' || (k + 1) || ' (0.5000)' || chr(10) ELSE '' END
+        || CASE WHEN k % 5 = 0 THEN chr(10) || '## Rule findings' || chr(10) || chr(10) || '| fault | name | confidence |' || chr(10) || '|-|-|-|' || chr(10) || '| F4 | Execution crash | 0.98 |' || chr(10) ELSE '' END AS report
+      FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0 OR n_nationkey % 5 = 0)""",
+}

@@ -99,3 +99,28 @@ def manifest(stored: DataFrame) -> DataFrame:
 def landed(spark: SparkSession, folder: str, files_a_trigger: int = 100) -> DataFrame:
     """Payloads that a receiver puts into a folder, as a stream of whole files (value)."""
     return spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_a_trigger).text(folder)
+
+
+def uploaded(files: DataFrame, most: int = 50) -> DataFrame:
+    """Files of one request (path, value) with ``ok`` and ``error``: one that is empty, no JSON, or beyond the first ``most`` by name fails alone."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path"))  # one request
+    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
+    error = F.when(place > most, f"more than {most} files").when(blank, "empty file").when(F.try_parse_json("value").isNull(), "no JSON")
+    return files.withColumn("error", error).withColumn("ok", F.col("error").isNull())
+
+
+GRAPH = "nodes array<struct<id:string,type:string,content:string,saliency:double,span_id:string>>, edges array<struct<source:string,target:string,edge_type:string,score:double>>"
+
+
+def graph_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of exported graphs (trace_id, value): any tool's choice of a graph can go on from these.
+
+    Nodes without an id go; edges whose ends aren't nodes of the graph too.
+    """
+    x = files.select("trace_id", F.from_json("value", GRAPH).alias("g"))
+    nodes = x.select("trace_id", F.posexplode("g.nodes").alias("ord", "n")).select("trace_id", F.col("n.id").alias("node_id"), F.col("ord") + 1, F.col("n.type").alias("type"), F.coalesce("n.content", F.lit("")).alias("content"), F.coalesce("n.saliency", F.lit(0.0)).alias("saliency"), F.col("n.span_id").alias("span_id"))
+    nodes = nodes.toDF("trace_id", "node_id", "ord", "type", "content", "saliency", "span_id").where("coalesce(node_id, '') != ''")
+    edges = x.select("trace_id", F.explode("g.edges").alias("e")).select("trace_id", "e.source", "e.target", F.coalesce("e.edge_type", F.lit("Temporal")).alias("edge_type"), F.coalesce("e.score", F.lit(0.0)).alias("score"))
+    for end in ("source", "target"):
+        edges = edges.join(nodes.select("trace_id", F.col("node_id").alias(end)), ["trace_id", end], "left_semi")
+    return nodes, edges.select("trace_id", "source", "target", "edge_type", "score")

@@ -155,3 +155,24 @@ def collect_all(collectors: dict[str, Callable[[], DataFrame]], spark: SparkSess
         except Exception as e:
             out = out.unionByName(spark.createDataFrame([(name, False, str(e)[:200], None, "health", None)], out.schema))
     return out
+
+
+def post_events(events: DataFrame, post: Callable[[list[dict]], None], checkpoint: str, most: int = 1000) -> StreamingQuery:
+    """Hands accepted events on, ``most`` at a time, from the tasks that hold them; a batch whose post fails is tried again as a whole, so ``post`` must allow repeats."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        columns = batch.columns
+
+        def each(rows: Iterator) -> None:
+            part: list[dict] = []
+            for r in rows:
+                part.append({c: r[c] for c in columns})
+                if len(part) == most:
+                    post(part)
+                    part = []
+            if part:
+                post(part)
+
+        monitoring.accepted(batch).foreachPartition(each)
+
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
