@@ -23,8 +23,8 @@ from spanloom.llm.runtime import checkpointed, partitions
 SAMPLED = 4096
 #: Numbers of pivots that are tried, and the nearest of them that a vector is posted under and a query reads.
 PIVOTS, POSTED = (512, 256, 128), 12
-#: Shares of all vectors that are tried for reranking, and places of the sample at least; the recall that the sample must reach, and its queries.
-RERANKED, RERANKED_LEAST, TARGET, TRIALS = (0.0025, 0.005, 0.01, 0.02, 0.04, 0.08), 50, 0.95, 96
+#: Shares of all vectors that are tried for reranking, the largest with the fewest pivots only; the recall that the sample must reach, and its queries.
+RERANKED, AT_LAST, TARGET, TRIALS = (0.0025, 0.005, 0.01, 0.02, 0.04, 0.08), (0.16, 0.32, 0.64, 1.0), 0.95, 96
 #: Vectors and queries that meet in one task at most.
 FILE_ROWS, QUERY_ROWS = 32_768, 2048
 
@@ -78,13 +78,13 @@ def footrules(places: np.ndarray, one: np.ndarray) -> np.ndarray:
 def fit(sample: np.ndarray, rows: int, k: int) -> Fit:
     """The most pivots, and for these the least share, at which the sample's own queries find TARGET of their k nearest; if none do, the fewest pivots and the largest share.
 
-    Pivots and queries have different directions, so that a large group of copies weighs no more than one vector. With few rows
-    there are so few pivots that every vector is in all files.
+    Pivots and queries have different directions, so that a large group of copies weighs no more than one vector. Below 512 rows
+    there are as many pivots as files of a vector, so that every vector is in all of them.
     """
     unit = sample / np.sqrt((sample * sample).sum(1, keepdims=True))
     own = directions(unit[:2048])
     fresh = unit[own]
-    tries = [n for n in PIVOTS if n <= min(rows // 16, len(fresh))] or [max(1, min(len(fresh), max(POSTED, rows // 16)))]
+    tries = [n for n in PIVOTS if n <= min(rows // 16, len(fresh))] or [min(len(fresh), PIVOTS[-1] if rows >= 512 else POSTED)]
     asked = own[:: max(1, len(own) // TRIALS)]
     score = unit[asked] @ unit.T
     score[np.arange(len(asked)), asked] = -2
@@ -92,19 +92,20 @@ def fit(sample: np.ndarray, rows: int, k: int) -> Fit:
     for n in tries:
         order = nearest_pivots(unit, fresh[:n])
         place, posted = positions(order), min(POSTED, n)
-        hits = np.zeros((len(RERANKED), 2))
+        shares = RERANKED + (AT_LAST if n == tries[-1] else ())
+        hits = np.zeros((len(shares), 2))
         for i, q in enumerate(asked):
             near = score[i] >= goal[i]
             found = np.isin(order[:, :posted], order[q, :posted]).any(1)
             d = footrules(place, place[q])
-            for j, share in enumerate(RERANKED):
-                at = max(RERANKED_LEAST, int(np.ceil(share * len(unit))))
+            for j, share in enumerate(shares):
+                at = max(k, int(np.ceil(share * len(unit))))
                 taken = found & (d <= (np.partition(d, at)[at] if at < len(d) else d.max()))
                 hits[j] += min(k, (near & taken).sum()), min(k, near.sum())
         good = np.flatnonzero(hits[:, 0] >= TARGET * hits[:, 1])
         if len(good) or n == tries[-1]:
-            share = RERANKED[good[0] if len(good) else -1]
-            return Fit(fresh[:n], posted, place, max(RERANKED_LEAST, int(np.ceil(share * len(unit)))))
+            share = shares[good[0] if len(good) else -1]
+            return Fit(fresh[:n], posted, place, max(k, int(np.ceil(share * len(unit)))))
     raise AssertionError
 
 

@@ -86,6 +86,16 @@ def test_search_recall_with_full_files(spark):
     assert len(got) == 500 and len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("n", [60, 500, 1500])
+def test_search_recall_of_few_vectors(spark, n):
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = permutation_index.search(df, F.col("vec_id") % 10 == 0).collect()
+    want = brute(np.arange(n), x, range(0, n, 10), 5)
+    assert len(got) == len(want) and len({(g.query_id, g.vec_id) for g in got} & want) >= 0.9 * len(want)
+
+
 def test_search_ties_infinities_and_repeated_ids(spark):
     x = {1: [1.0, 0.0], 2: [2.0, 0.0], 3: [3.0, 0.0], 4: [0.0, 1.0], 5: [float("inf"), 0.0], 6: [1.0, 1.0], 7: [-1.0, 0.0]}
     rows = [*x.items(), (4, [0.0, -1.0]), (1, [1.0, 0.0])]
