@@ -519,7 +519,7 @@ ORACLE |= {
       SELECT ow.trace_id, ow.span_id, CAST(agent AS VARCHAR) AS agent_id, CASE WHEN sub THEN 'subagent' ELSE 'main' END AS agent_role, CASE WHEN sub THEN coalesce(depth, 0) ELSE 0 END AS agent_depth, pa.parent AS parent_agent_id, pa.spawn AS spawn_span_id
       FROM ow LEFT JOIN pa ON pa.trace_id = ow.trace_id AND pa.run = ow.agent LEFT JOIN dm ON dm.trace_id = ow.trace_id AND dm.run = ow.agent""",
     "q_virtualization": """WITH e AS (SELECT user_id AS trace_id, user_id % 4 AS k, event_type, event_id FROM events), f AS (SELECT trace_id, any_value(k) AS k, count(DISTINCT event_type) AS n FROM e GROUP BY 1)
-      SELECT trace_id, CASE k WHEN 0 THEN 'Kubernetes' WHEN 1 THEN 'Cloud VM' WHEN 2 THEN 'Host/VM' ELSE 'unknown' END AS runtime, CASE WHEN k < 2 THEN n ELSE 0 END AS services, CASE WHEN k = 0 THEN 1 ELSE 0 END AS containers, CASE k WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS attributes, CASE WHEN k = 3 THEN 'unknown' ELSE 'healthy' END AS status FROM f""",
+      SELECT trace_id, CASE k WHEN 0 THEN 'Kubernetes' WHEN 1 THEN 'Cloud VM' WHEN 2 THEN 'Host/VM' ELSE 'unknown' END AS runtime, CAST(CASE WHEN k < 2 THEN n ELSE 0 END AS BIGINT) AS services, CAST(CASE WHEN k = 0 THEN 1 ELSE 0 END AS BIGINT) AS containers, CAST(CASE k WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS BIGINT) AS attributes, CASE WHEN k = 3 THEN 'unknown' ELSE 'healthy' END AS status FROM f""",
     "q_uploads": "WITH n AS (SELECT n_nationkey AS k, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS path, CASE WHEN n_nationkey >= 20 THEN 'more than 20 files' WHEN n_nationkey % 3 = 2 THEN 'empty file' WHEN n_nationkey % 3 = 1 THEN 'no JSON' END AS error FROM nation) SELECT path, error IS NULL AS ok, error FROM n",
     "q_exported_graphs": f"WITH {GRAPH}, e AS (SELECT trace_id, count(*) AS edges, round(sum(score), 4) AS score FROM ge GROUP BY 1) SELECT gn.trace_id, count(*) AS nodes, CAST(arg_max(node_id, ord) AS VARCHAR) AS last, any_value(edges) AS edges, any_value(score) AS score FROM gn LEFT JOIN e ON e.trace_id = gn.trace_id GROUP BY gn.trace_id",
     "q_diagnostic_report": """SELECT CAST(k AS VARCHAR) AS trace_id, '# Diagnosis of trace ' || k || chr(10) || chr(10) || '- severity: ' || CASE WHEN k % 2 = 0 THEN 'HIGH' ELSE 'unknown' END || chr(10)
