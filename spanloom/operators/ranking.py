@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import numbers
-from spanloom.operators.graph_algorithms import Graph, spread
+from spanloom.operators.graph_algorithms import Graph, of_traces, pieces, spread
 
 # Weights of the parts of a root-cause score.
 WEIGHTS = {"anomaly": 0.24, "semantic": 0.22, "dependency": 0.20, "strength": 0.16, "position": 0.09, "origin": 0.09}
@@ -22,11 +22,11 @@ def _clamp(x: float) -> float:
 
 def path_quality(path: list[int], info: dict[tuple[int, int], dict], concluded: bool) -> tuple[float, float, float, float]:
     """final_dependency, strength, share of dependency edges and of temporal edges on a path."""
-    edges = [info[a, b] for a, b in zip(path, path[1:], strict=False)]
+    edges = [info[p] for p in zip(path, path[1:], strict=False)]
     if not edges:
         return 0.0, 0.0, 0.0, 0.0
     real = [e["confidence"] for e in edges if e["dependency"] not in ("same_step_neighbor", "control_flow")]
-    temporal = sum(e["edge_type"] == "Temporal" for e in edges) / len(edges)
+    temporal = len([1 for e in edges if e["edge_type"] == "Temporal"]) / len(edges)
     ratio, mean = len(real) / len(edges), sum(real) / len(real) if real else 0.0
     strength = 0.65 * mean + 0.35 * min(real) if real else 0.35 * sum(e["confidence"] for e in edges) / len(edges)
     return round(_clamp(0.5 * ratio + 0.35 * mean + 0.1 * concluded - 0.2 * temporal), 4), strength, ratio, temporal
@@ -34,18 +34,16 @@ def path_quality(path: list[int], info: dict[tuple[int, int], dict], concluded:
 
 def rank_trace(nodes: list[dict], edges: list[dict], most: int = 12, longest: int = 18) -> list[tuple]:
     """Root causes of one trace: node, target, score, hops, final dependency, strength, path."""
-    for e in edges:
-        e["cost"] = e["causal_cost"]
-    g = Graph(nodes, edges)
+    g = Graph(nodes, [{**e, "cost": round(e["causal_cost"] * 1e9)} for e in edges])  # whole numbers: equal sums are equal
     info: dict[tuple[int, int], dict] = {}
-    for e in sorted(edges, key=lambda e: -e["cost"]):
+    for e in sorted(edges, key=lambda e: -e["causal_cost"]):
         info[e["source"], e["target"]] = e
     out = []
     targets = g.anchors()[::-1][:4]
     for k in g.anomalies(most):
         best = None
         for goal in targets:
-            for _, path in g.paths(k, {goal}, 8) if k != goal else ():
+            for path in g.led(k, goal, 8) if k != goal and g.steps(goal).get(k, longest + 1) <= longest else ():
                 if len(path) - 1 > longest:
                     continue
                 dep, strength, ratio, temporal = path_quality(path, info, g.nodes[goal]["type"] == "Conclusion")
@@ -71,8 +69,9 @@ def root_causes(nodes: DataFrame, typed: DataFrame) -> DataFrame:
     e = typed.groupBy("trace_id").agg(F.collect_list(F.struct("source", "target", "edge_type", "confidence", "dependency", "causal_cost")).alias("edges"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["trace_id"], i + 1, *x) for r in batch.to_pylist() for i, x in enumerate(rank_trace(r["nodes"], r["edges"] or []))]
+        for batch in pieces(batches):
+            each = zip(batch.column("trace_id").to_pylist(), of_traces(batch, "nodes"), of_traces(batch, "edges"), strict=True)
+            rows = [(trace, i + 1, *x) for trace, nodes, edges in each for i, x in enumerate(rank_trace(nodes, edges))]
             cols = list(zip(*rows, strict=True)) or [()] * 9
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in RANKED.split(", ")])
