@@ -1,8 +1,10 @@
 """What keeps queries within time and memory on larger tables: less work for the same results."""
 
+import random
+
 import pytest
 
-from spanloom.operators import target_paths
+from spanloom.operators import graph, target_paths
 from test_paths import random_trace
 
 
@@ -15,3 +17,26 @@ def test_targets_and_slice_need_no_ranking(only, monkeypatch):
     got = target_paths.Trail(nodes, edges, target_paths.Limits()).select(only)
     assert got["targets"] == want["targets"]
     assert (got["slice"], got["counts"]) == ((want["slice"], want["counts"]) if only == "slice" else ([], {}))
+
+
+def test_pairs_of_blocks_find_what_all_pairs_have(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    r = random.Random(5)
+    words = [f"w{i:02d}" for i in range(9)]
+    rows = [(t, 100 * t + i, i, r.choice(["Error", "Fact", "Action", None]), None if i == 7 else " ".join(r.sample(words, r.randrange(0, 5)))) for t in (1, 2) for i in range(15)]
+    nodes = spark.createDataFrame(rows, "trace_id long, node_id long, ord int, type string, content string")
+    want = []
+    for t in (1, 2):
+        mine, kept = [x for x in rows if x[0] == t], []
+        for b in mine:
+            pairs = []
+            for a in mine[: b[2]]:
+                x, y = set((a[4] or "").split()), set((b[4] or "").split())
+                pairs.append((-round((len(x & y) / len(x | y) if x | y else 0.0) + 0.1 * (a[3] == "Error"), 6), b[2], a[2], a, b))
+            kept += sorted(pairs, key=lambda p: p[:3])[:3]
+        for s, _, _, a, b in sorted(kept, key=lambda p: p[:3])[:24]:
+            if -s >= (0.04 if a[3] == "Error" and b[3] in ("Action", "Conclusion", "Planning") else 0.06):
+                want.append((t, a[1], b[1], -s))
+    got = graph.cognitive_edges(nodes)
+    assert sorted((x.trace_id, x.source, x.target, x.score) for x in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
