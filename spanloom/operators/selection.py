@@ -101,10 +101,12 @@ def tfidf(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def temporal_window(nodes: DataFrame, anchor: Column, reach: int = 8) -> DataFrame:
-    """Nodes within ``reach`` places of an anchor, with the distance to the nearest."""
-    w = Window.partitionBy("trace_id").orderBy("ord")
-    before = F.last(F.when(anchor, F.col("ord")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(anchor, F.col("ord")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    """Nodes within ``reach`` places of an anchor, with the distance to the nearest.
+
+    What follows is what precedes in falling order: a frame that ends with the trace would be read anew for each node.
+    """
+    last = lambda order: F.last(F.when(anchor, F.col("ord")), True).over(Window.partitionBy("trace_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = last(F.asc("ord")), last(F.desc("ord"))
     dist = F.least(F.col("ord") - before, after - F.col("ord"))
     return nodes.select("trace_id", "node_id", "ord", dist.alias("distance")).where(F.col("distance") <= reach)
 

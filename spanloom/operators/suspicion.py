@@ -96,17 +96,17 @@ def produced_faults(nodes: DataFrame, ranking: DataFrame | None = None, most: in
     """
     low = F.lower(F.coalesce("content", F.lit("")))
     rows = nodes.select("trace_id", "node_id", "ord", "type", low.alias("low"), text.artifact_keys(F.col("content")).alias("artifacts"))
-    rows = rows.withColumn("next_error", F.first(F.when(F.col("type") == "Error", F.col("node_id")), True).over(Window.partitionBy("trace_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("next_error", F.last(F.when(F.col("type") == "Error", F.col("node_id")), True).over(Window.partitionBy("trace_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)))
     uses = (F.col("type") == "Error") | (F.col("type").isin("Action", "Fact", "Conclusion") & ((hits(F.col("low"), CONSUMER_WORDS) > 0) | (hits(F.col("low"), FAILURE_WORDS) > 0)))
     made = rows.where((F.col("type") == "Action") & (hits(F.col("low"), PRODUCER_WORDS) > 0) & (F.size("artifacts") > 0))
     each = made.select("trace_id", "node_id", "ord", F.explode("artifacts").alias("artifact"))
     earlier = each.withColumn("_first", F.min("ord").over(Window.partitionBy("trace_id", "artifact"))).groupBy("trace_id", "node_id").agg(F.bool_or(F.col("_first") < F.col("ord")).alias("earlier"))
     used = rows.where(uses).select("trace_id", F.col("node_id").alias("consumer"), F.col("ord").alias("then"), F.when(F.col("type") == "Error", F.col("node_id")).otherwise(F.col("next_error")).alias("error"), F.explode("artifacts").alias("artifact"))
     # as of each artifact's next use: one row a producer and artifact, not one a pair
-    w = Window.partitionBy("trace_id", "artifact").orderBy("at", F.col("maker").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("trace_id", "artifact").orderBy(F.desc("at"), F.col("maker").isNull()).rowsBetween(Window.unboundedPreceding, -1)
     line = each.select("trace_id", "artifact", F.col("ord").alias("at"), F.col("node_id").alias("maker"), F.lit(None).cast("struct<then:int,consumer:bigint,error:bigint>").alias("use"))
     line = line.unionByName(used.select("trace_id", "artifact", F.col("then").alias("at"), F.lit(None).cast("bigint").alias("maker"), F.struct(F.col("then").cast("int").alias("then"), F.col("consumer").cast("bigint").alias("consumer"), F.col("error").cast("bigint").alias("error")).alias("use")))
-    after = line.withColumn("next", F.first("use", True).over(w)).where("maker is not null").groupBy("trace_id", F.col("maker").alias("node_id")).agg(F.min("next").alias("use"))
+    after = line.withColumn("next", F.last("use", True).over(w)).where("maker is not null").groupBy("trace_id", F.col("maker").alias("node_id")).agg(F.min("next").alias("use"))
     score = ranking.select("trace_id", "node_id", F.col("score").alias("_chain")) if ranking is not None else None
     out = made.join(earlier, ["trace_id", "node_id"]).join(after, ["trace_id", "node_id"], "left")
     out = out.join(score, ["trace_id", "node_id"], "left") if score is not None else out.withColumn("_chain", F.lit(0.0))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanloom.operators import graph, target_paths
+from spanloom.operators import graph, selection, suspicion, target_paths
 from test_paths import random_trace
 
 
@@ -40,3 +41,12 @@ def test_pairs_of_blocks_find_what_all_pairs_have(spark, monkeypatch):
     got = graph.cognitive_edges(nodes)
     assert sorted((x.trace_id, x.source, x.target, x.score) for x in got.collect()) == sorted(want)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_frame_is_read_anew_for_each_row(spark):
+    nodes = spark.createDataFrame([(1, i, i, "Error" if i == 3 else "Fact", f"read_text a{i % 2}.json") for i in range(6)], "trace_id long, node_id long, ord int, type string, content string")
+    near = selection.temporal_window(nodes, F.col("type") == "Error", 2)
+    assert sorted((x.node_id, x.distance) for x in near.collect()) == [(1, 2), (2, 1), (3, 0), (4, 1), (5, 2)]
+    for rows in (near, suspicion.produced_faults(nodes)):
+        plan = rows._jdf.queryExecution().analyzed().toString().lower()
+        assert plan.count("unboundedfollowing") == plan.count("unboundedpreceding$(), unboundedfollowing")
