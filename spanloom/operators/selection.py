@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import numbers, text
 from spanloom.lineage import checkpointed
+from spanloom.operators.graph_algorithms import pieces
 
 
 def budgeted(rows: DataFrame, order: list[Column], item: Column, size: Column, most: int, room: int) -> DataFrame:
@@ -52,11 +59,36 @@ def anchors(nodes: DataFrame) -> DataFrame:
 FAILURE_TERMS = ("error", "failure", "failed", "invalid", "incorrect", "wrong", "exception", "timeout", "missing", "unsupported", "contradiction", "retry", "root", "cause")
 
 
+def counted_terms(nodes: DataFrame) -> DataFrame:
+    """Term frequencies of each node: trace_id, node_id, len (the node's length in terms), term, tf; and a row of each node with an empty term, whose tf is the length.
+
+    A node's terms are counted where its text is, without a shuffle: the terms of ``text.tokens``.
+    """
+    token, stop = re.compile(text.TOKEN), frozenset(text.STOP_WORDS)
+    kinds = dict(nodes.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sizes, lens, words, counts = [], [], [], []
+            for t in batch.column("low").to_pylist():
+                found = Counter(token.findall(t))
+                for w in stop & found.keys():
+                    del found[w]
+                total = found.total()
+                sizes.append(len(found) + 1)
+                lens.append(total)
+                words += ["", *found]
+                counts += [total, *found.values()]
+            at = np.repeat(np.arange(batch.num_rows), sizes)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("trace_id", "node_id")], pa.array(np.asarray(lens, dtype=np.int32)[at] if sizes else [], pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["trace_id", "node_id", "len", "term", "tf"])
+
+    low = nodes.select("trace_id", "node_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+    return low.mapInArrow(work, f"trace_id {kinds['trace_id']}, node_id {kinds['node_id']}, len int, term string, tf long")
+
+
 def terms(nodes: DataFrame) -> DataFrame:
     """Term frequencies of each node: trace_id, node_id, term, tf, and the node's length in terms. Texts are cut into terms once, and written."""
-    words = nodes.select("trace_id", "node_id", text.tokens(F.col("content")).alias("w"))
-    rows = words.select("trace_id", "node_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("trace_id", "node_id", "len", "term").agg(F.count("*").alias("tf"))
-    return checkpointed(rows)
+    return checkpointed(counted_terms(nodes).where("term != ''"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -74,11 +106,14 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 def bm25(nodes: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Score of each node for its trace's query (trace_id, content) and the failure terms; nodes without such a term are left out.
 
-    Only rows of query terms are joined further: all nodes that hold such a term are among them, so its frequency is counted there.
+    Only rows of query terms, and a node's length as the row of an empty one, are written and joined further: all nodes that hold
+    such a term are among them, so its frequency is counted there.
     """
-    tf = terms(nodes)
-    corpus = nodes.groupBy("trace_id").agg(F.count("*").alias("n")).join(tf.groupBy("trace_id").agg(F.sum("tf").alias("all")), "trace_id").select("trace_id", "n", (F.col("all") / F.col("n")).alias("mean"))
-    hits = tf.join(query_terms(queries), ["trace_id", "term"])
+    asked = query_terms(queries)
+    asked = asked.unionByName(asked.select("trace_id").distinct().select("trace_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("qtf")))
+    every = checkpointed(counted_terms(nodes).join(asked, ["trace_id", "term"]))
+    corpus = every.where("term = ''").groupBy("trace_id").agg(F.count("*").alias("n"), F.sum("tf").alias("all")).select("trace_id", "n", (F.col("all") / F.col("n")).alias("mean"))
+    hits = every.where("term != ''")
     rows = hits.join(document_frequencies(hits), ["trace_id", "term"]).join(corpus, "trace_id")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * (1 + F.ln("qtf"))

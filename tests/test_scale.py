@@ -1,10 +1,12 @@
 """What keeps queries within time and memory on larger tables: less work for the same results."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import text
 from spanloom.operators import graph, selection, suspicion, target_paths
 from test_paths import random_trace
 
@@ -50,3 +52,15 @@ def test_no_frame_is_read_anew_for_each_row(spark):
     for rows in (near, suspicion.produced_faults(nodes)):
         plan = rows._jdf.queryExecution().analyzed().toString().lower()
         assert plan.count("unboundedfollowing") == plan.count("unboundedpreceding$(), unboundedfollowing")
+
+
+def test_terms_are_counted_where_the_text_is(spark):
+    said = ["The tool failed, the TOOL-kit_1 failed: not found", None, "", "the and for", "ΣΑΣ Tool\u0130x tool é1234", "tool " * 300]
+    nodes = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "trace_id long, node_id long, content string")
+    rows = selection.counted_terms(nodes)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {x.node_id: x.w for x in nodes.select("node_id", text.tokens(F.col("content")).alias("w")).collect()}
+    got = rows.collect()
+    for k, w in want.items():
+        mine = [x for x in got if x.node_id == k]
+        assert {x.term: x.tf for x in mine} == {"": len(w), **Counter(w)} and {x.len for x in mine} == {len(w)}
