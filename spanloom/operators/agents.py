@@ -107,7 +107,7 @@ def inferred_scopes(spans: DataFrame) -> DataFrame:
     to a main agent without an id. One with a ``speaker`` belongs to that participant. Adds agent_id, agent_role, agent_depth, parent_agent_id,
     spawn_span_id, agent_path (from the main agent down) and agent_task.
     """
-    closure = tree.ancestors(spans.select("trace_id", "span_id", "parent_id"))
+    closure = checkpointed(tree.ancestors(checkpointed(spans.select("trace_id", "span_id", "parent_id"))))
     begun = started_by(spans, closure)
     above = closure.unionByName(spans.select("trace_id", "span_id", F.col("span_id").alias("ancestor_id"), F.lit(0).alias("dist")))
     near = above.join(begun.select("trace_id", F.col("span_id").alias("ancestor_id")), ["trace_id", "ancestor_id"]).groupBy("trace_id", "span_id").agg(F.min_by("ancestor_id", "dist").alias("_near"))

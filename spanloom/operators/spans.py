@@ -29,13 +29,18 @@ def with_parent(spans: DataFrame) -> DataFrame:
     return out.withColumn("is_root", F.col("_known").isNull() | (F.col("parent_id") == F.col("span_id"))).drop("_known")
 
 
+def inner(spans: DataFrame) -> DataFrame:
+    """Spans that others name as their parent: all that lie on a way up. Most spans are leaves."""
+    return spans.join(spans.where("parent_id is not null").select("trace_id", F.col("parent_id").alias("span_id")).distinct(), ["trace_id", "span_id"], "left_semi")
+
+
 def jumps(spans: DataFrame) -> list[DataFrame]:
     """Pointers (trace_id, span_id, up) to the 1st, 2nd, 4th, ... ancestor, each table written once, until no span has one.
 
     Each doubles the one before. After as many as the spans of the largest trace allow, only spans that lead into a
     cycle still have a pointer; these are the rows of a last table, which is empty for forests.
     """
-    now = checkpointed(spans.where("parent_id is not null and parent_id != span_id").select("trace_id", "span_id", F.col("parent_id").alias("up")))
+    now = checkpointed(_linked(spans).select("trace_id", "span_id", F.col("parent_id").alias("up")))
     longest = now.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     out, k = [now], 1
     while k <= longest:
@@ -48,41 +53,60 @@ def jumps(spans: DataFrame) -> list[DataFrame]:
     return out
 
 
+def _linked(spans: DataFrame) -> DataFrame:
+    return spans.where("parent_id is not null and parent_id != span_id")
+
+
+def lines(spans: DataFrame) -> DataFrame:
+    """The ancestors of each inner span that has any, nearest first (trace_id, span_id, line); a cycle ends where it closes.
+
+    A line is joined to that of its last span, so that the rounds grow with the logarithm of the depth.
+    """
+    now = checkpointed(_linked(inner(spans)).select("trace_id", "span_id", F.array("parent_id").alias("line"), F.lit(True).alias("open")))
+    while not now.where("open").isEmpty():
+        above = now.select("trace_id", F.col("span_id").alias("_top"), F.col("line").alias("_more"), F.col("open").alias("_open"))
+        rows = now.withColumn("_top", F.when(F.col("open"), F.element_at("line", -1))).join(above, ["trace_id", "_top"], "left")
+        rows = rows.withColumn("_all", F.when(F.col("_more").isNotNull(), F.concat("line", "_more")).otherwise(F.col("line")))
+        rows = rows.withColumn("_once", F.array_remove(F.array_distinct("_all"), F.col("span_id")))
+        now = checkpointed(rows.select("trace_id", "span_id", F.col("_once").alias("line"), (F.coalesce("_open", F.lit(False)) & (F.size("_once") == F.size("_all"))).alias("open")))
+    return now.select("trace_id", "span_id", "line")
+
+
 def ancestors(spans: DataFrame) -> DataFrame:
     """All (trace_id, span_id, ancestor_id, dist) of the forest; a cycle ends where it closes.
 
-    The closure doubles its reach with every join, so that the rounds grow with the logarithm of the depth. Rows are
+    Lines are only found for inner spans; every span then has its parent and the line of that, in one join. Rows are
     as many as the depths of all spans together; ``nearest_ancestor`` and ``descendants_count`` do without them.
     """
-    steps = jumps(spans)
-    return _closure(steps[0].withColumnRenamed("up", "ancestor_id").withColumn("dist", F.lit(1)), steps, not steps[-1].isEmpty())
-
-
-def _closure(now: DataFrame, steps: list[DataFrame], cyclic: bool) -> DataFrame:
-    for i, step in enumerate(steps[:-1]):
-        far = step.withColumnRenamed("span_id", "low").join(now.withColumnRenamed("span_id", "up"), ["trace_id", "up"]).select("trace_id", F.col("low").alias("span_id"), "ancestor_id", (F.col("dist") + (1 << i)).alias("dist"))
-        now = now.unionByName(far)
-        if cyclic:
-            now = now.where("span_id != ancestor_id").groupBy("trace_id", "span_id", "ancestor_id").agg(F.min("dist").alias("dist"))
-        now = checkpointed(now)
-    return now
+    above = lines(spans).select("trace_id", F.col("span_id").alias("parent_id"), "line")
+    rows = _linked(spans).select("trace_id", "span_id", "parent_id").join(above, ["trace_id", "parent_id"], "left")
+    every = F.when(F.col("line").isNotNull(), F.concat(F.array("parent_id"), "line")).otherwise(F.array("parent_id"))
+    return rows.select("trace_id", "span_id", F.posexplode(every).alias("dist", "ancestor_id")).where("span_id != ancestor_id").select("trace_id", "span_id", "ancestor_id", (F.col("dist") + 1).alias("dist"))
 
 
 def nearest_ancestor(spans: DataFrame, value: Column, name: str) -> DataFrame:
     """For each span with one, the nearest ancestor where ``value`` isn't blank, as ``name``, and its distance.
 
-    Every span looks as far up as its pointer reaches; each round doubles that for those that have found nothing.
+    Every inner span looks as far up as its pointer reaches; each round doubles that for those that have found nothing. All
+    spans then take what their parent is or has found.
     """
-    rows = spans.select("trace_id", "span_id", F.when(F.col("parent_id") != F.col("span_id"), F.col("parent_id")).alias("up"), value.alias("_own")).distinct()
-    held = rows.where(F.trim("_own") != "").select("trace_id", F.col("span_id").alias("up"), F.col("_own").alias(name))
-    # what the spans' first ancestor says, and where to look next
-    known = rows.where("up is not null").select("trace_id", "span_id", "up").distinct().join(held, ["trace_id", "up"], "left")
+    rows = spans.select("trace_id", "span_id", F.when(F.col("parent_id") != F.col("span_id"), F.col("parent_id")).alias("up"), value.alias("_own"))
+    found = _found(rows.where("up is not null").select("trace_id", "span_id", "up", F.col("up").alias("parent_id")), rows.where(F.trim("_own") != "").select("trace_id", F.col("span_id").alias("up"), F.col("_own").alias(name)).distinct(), name)
+    out = rows.select("trace_id", "span_id", "up").where("up is not null").join(found.withColumnRenamed("span_id", "up"), ["trace_id", "up"])
+    # copies of a row have the same parent, so they meet where the join has put them
+    return out.groupBy("trace_id", "up", "span_id").agg(F.first(name).alias(name), (F.min("dist") + 1).alias("dist")).drop("up")
+
+
+def _found(links: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """What each inner span is, at distance 0, or else finds above."""
+    known = inner(links).select("trace_id", "span_id", "up").distinct().join(held, ["trace_id", "up"], "left")
     now = checkpointed(known.select("trace_id", "span_id", "up", name, F.when(F.col(name).isNotNull(), 1).alias("dist")))
     longest, k = now.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0, 1
     while True:
         open_ = now.where(F.col(name).isNull())
         if k > longest or open_.isEmpty():
-            return now.where(F.col(name).isNotNull()).groupBy("trace_id", "span_id").agg(F.min_by(name, "dist").alias(name), F.min("dist").alias("dist"))
+            every = now.where(F.col(name).isNotNull()).select("trace_id", "span_id", name, "dist").unionByName(held.select("trace_id", F.col("up").alias("span_id"), name, F.lit(0).alias("dist")))
+            return every.groupBy("trace_id", "span_id").agg(F.min_by(name, "dist").alias(name), F.min("dist").alias("dist"))
         above = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col(name).alias("_name"), F.col("dist").alias("_dist"))
         found = open_.join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), F.col("_name").alias(name), (F.col("_dist") + k).alias("dist"))
         now = checkpointed(now.where(F.col(name).isNotNull()).unionByName(found))
@@ -92,23 +116,22 @@ def nearest_ancestor(spans: DataFrame, value: Column, name: str) -> DataFrame:
 def descendants_count(spans: DataFrame) -> DataFrame:
     """Number of descendants of each span that has any.
 
-    Counts down to 2k levels are counts down to k levels plus those of the descendants k levels below. Only traces with a
-    cycle need the closure itself, as a descendant may be met twice there.
+    Counts down to 2k levels are counts down to k levels plus those of the descendants k levels below; as leaves have none, only
+    inner spans have pointers. Only traces with a cycle need the closure itself, as a descendant may be met twice there.
     """
-    steps = jumps(spans)
+    links = _linked(spans).select("trace_id", "span_id", "parent_id")
+    steps = jumps(inner(links))
     bad = steps[-1].select("trace_id").distinct()
     cyclic = not steps[-1].isEmpty()
-    fine = [s.join(bad, "trace_id", "left_anti") for s in steps] if cyclic else steps
-    now = fine[0].groupBy("trace_id", F.col("up").alias("span_id")).agg(F.count("*").alias("descendants"))
-    for step in fine[:-1]:
+    apart = lambda rows: rows.join(bad, "trace_id", "left_anti") if cyclic else rows
+    now = apart(links).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.count("*").alias("descendants"))
+    for step in steps[:-1]:
         now = checkpointed(now)
-        below = step.join(now, ["trace_id", "span_id"]).select("trace_id", F.col("up").alias("span_id"), "descendants")
+        below = apart(step).join(now, ["trace_id", "span_id"]).select("trace_id", F.col("up").alias("span_id"), "descendants")
         now = now.unionByName(below).groupBy("trace_id", "span_id").agg(F.sum("descendants").alias("descendants"))
     if not cyclic:
         return now
-    odd = [s.join(bad, "trace_id", "left_semi") for s in steps]
-    closure = _closure(odd[0].withColumnRenamed("up", "ancestor_id").withColumn("dist", F.lit(1)), odd, True)
-    return now.unionByName(closure.groupBy("trace_id", F.col("ancestor_id").alias("span_id")).agg(F.count("*").alias("descendants")))
+    return now.unionByName(ancestors(links.join(bad, "trace_id", "left_semi")).groupBy("trace_id", F.col("ancestor_id").alias("span_id")).agg(F.count("*").alias("descendants")))
 
 
 def repeated_attempts(spans: DataFrame, least: int = 3) -> DataFrame:

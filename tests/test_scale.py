@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.operators import graph, selection, suspicion, target_paths
+from spanloom.operators import graph, selection, spans, suspicion, target_paths
 from test_paths import random_trace
 
 
@@ -64,3 +64,29 @@ def test_terms_are_counted_where_the_text_is(spark):
     for k, w in want.items():
         mine = [x for x in got if x.node_id == k]
         assert {x.term: x.tf for x in mine} == {"": len(w), **Counter(w)} and {x.len for x in mine} == {len(w)}
+
+
+def test_lines_are_found_for_inner_spans_only(spark):
+    r = random.Random(2)
+    up = {i: (r.randrange(i) if i else None) for i in range(30)} | {40: 41, 41: 42, 42: 40, 43: 42, 44: 43, 50: 50, 51: 50, 52: 99}
+    rows = spark.createDataFrame([(1, i, p) for i, p in up.items()], "trace_id long, span_id long, parent_id long")
+    want = set()
+    for i in up:
+        at, seen = up[i], []
+        while at is not None and at != i and at not in seen and not (up.get(i) == i):
+            seen.append(at)
+            at = up.get(at) if up.get(at) != at else None
+        want |= {(i, a, d + 1) for d, a in enumerate(seen)}
+    got = [(x.span_id, x.ancestor_id, x.dist) for x in spans.ancestors(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    inner = set(up.values())
+    assert {x.span_id for x in spans.lines(rows).collect()} <= inner
+    below = Counter(a for _, a, _ in want)
+    assert {x.span_id: x.descendants for x in spans.descendants_count(rows).collect()} == below
+    value = {i: "here" if i % 7 == 3 else None for i in up}
+    near = spans.nearest_ancestor(rows, F.when(F.col("span_id") % 7 == 3, "here"), "task")
+    nearest = {}
+    for i, a, d in want:
+        if value.get(a):
+            nearest[i] = min(d, nearest.get(i, d))
+    assert {x.span_id: x.dist for x in near.collect() if up.get(x.span_id) is not None and x.span_id < 40} == {k: d for k, d in nearest.items() if k < 40}
