@@ -90,3 +90,19 @@ def test_lines_are_found_for_inner_spans_only(spark):
         if value.get(a):
             nearest[i] = min(d, nearest.get(i, d))
     assert {x.span_id: x.dist for x in near.collect() if up.get(x.span_id) is not None and x.span_id < 40} == {k: d for k, d in nearest.items() if k < 40}
+
+
+def test_token_estimates_take_out_runs(spark):
+    said = ["plain words " * 9, "汉字 mixed é text " * 7, "ééé汉", "", None, "x" * 200]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "k long, t string")
+    estimate = lambda t: sum("\u4e00" <= c <= "\u9fff" for c in t) + (sum(c < "\x80" for c in t) + 2) // 3 + (sum(not (c < "\x80" or "\u4e00" <= c <= "\u9fff") for c in t) + 1) // 2
+    got = rows.select("k", text.token_estimate(F.col("t")).alias("n"), text.token_cut(F.col("t"), 20).alias("cut"))
+    for x in got.collect():
+        t = said[x.k] or ""
+        cut = lambda n: t[: n * 2 // 3] + "\n...[cut]...\n" + (t[-(n - n * 2 // 3) :] if n else "")  # noqa: B023, E731
+        room = 0
+        for step in (1 << k for k in range(24, -1, -1)):
+            room += step if room + step < len(t) and estimate(cut(room + step)) <= 20 else 0
+        assert (x.n, x.cut) == (estimate(t), t if estimate(t) <= 20 else cut(room))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "x7f], " not in plan and "x7f]+, " in plan
