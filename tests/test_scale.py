@@ -1,13 +1,16 @@
 """What keeps queries within time and memory on larger tables: less work for the same results."""
 
+import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.operators import graph, selection, spans, suspicion, target_paths
+from spanloom.operators import graph, graph_algorithms, ranking, selection, spans, suspicion, target_paths
+from spanloom.plans import catalog
 from test_paths import random_trace
 
 
@@ -106,3 +109,11 @@ def test_token_estimates_take_out_runs(spark):
         assert (x.n, x.cut) == (estimate(t), t if estimate(t) <= 20 else cut(room))
     plan = got._jdf.queryExecution().analyzed().toString()
     assert "x7f], " not in plan and "x7f]+, " in plan
+
+
+def test_no_payload_holds_all_events(spark, tmp_path):
+    events = spark.range(1000).selectExpr("id as event_id", "id % 500 as user_id", "'view' as event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog._payloads(spark, str(tmp_path)).count() == 5
+    got = catalog.QUERIES["q_payload_split"](spark, str(tmp_path)).collect()
+    assert len(got) == 500 and {(x.n_spans, x.spans_in_payload) for x in got} == {(2, 2)}
