@@ -117,3 +117,34 @@ def test_no_payload_holds_all_events(spark, tmp_path):
     assert catalog._payloads(spark, str(tmp_path)).count() == 5
     got = catalog.QUERIES["q_payload_split"](spark, str(tmp_path)).collect()
     assert len(got) == 500 and {(x.n_spans, x.spans_in_payload) for x in got} == {(2, 2)}
+
+
+def ladder(n):
+    """A way over n squares: two equal ways around each, whose costs are no sums that doubles hold."""
+    nodes = [{"node_id": k, "ord": k, "type": "Conclusion" if k == 3 * n else "Fact", "saliency": 5.0 if k == 0 else 1.0} for k in range(3 * n + 1)]
+    edges = []
+    for i in range(n):
+        for a, z, c in ((0, 1, 0.1), (0, 2, 0.7), (1, 3, 0.7), (2, 3, 0.1)):
+            edges.append({"source": 3 * i + a, "target": 3 * i + z, "edge_type": "Call", "confidence": 0.9, "dependency": "data", "causal_cost": c + i % 3 / 10})
+    return nodes, edges
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_equal_paths_go_by_order(back, monkeypatch):
+    nodes, edges = ladder(4)
+    if back:  # an edge that leads back, so that a node at a time is looked at
+        edges.append({**edges[0], "source": 12, "target": 0, "causal_cost": 9.0})
+    want = [[0, *itertools.chain(*[(3 * i + 1 + x, 3 * i + 3) for i, x in enumerate(way)])] for way in itertools.product((0, 1), repeat=4)][:8]
+    seen = []
+    monkeypatch.setattr(ranking, "path_quality", lambda path, info, concluded: seen.append(path) or (0.9, 0.9, 1.0, 0.0))
+    (best,) = [r for r in ranking.rank_trace(nodes, edges) if r[0] == 0]
+    assert [p for p in seen if p[0] == 0] == want and best[6] == want[0]
+    g = graph_algorithms.Graph(nodes, [{**e, "cost": round(e["causal_cost"] * 1e9)} for e in edges])
+    assert g.led(0, 12, 8) == [p for _, p in g.paths(0, {12}, 8)] == want
+
+
+def test_forward_graphs_take_one_pass_for_all_sources(monkeypatch):
+    nodes, edges = ladder(6)
+    monkeypatch.setattr(graph_algorithms.Graph, "shortest", lambda *a: pytest.fail("a search for each path"))
+    monkeypatch.setattr(graph_algorithms.Graph, "paths", lambda *a: pytest.fail("a search for each source"))
+    assert len(ranking.rank_trace(nodes, edges)) > 5
