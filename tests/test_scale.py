@@ -148,3 +148,13 @@ def test_forward_graphs_take_one_pass_for_all_sources(monkeypatch):
     monkeypatch.setattr(graph_algorithms.Graph, "shortest", lambda *a: pytest.fail("a search for each path"))
     monkeypatch.setattr(graph_algorithms.Graph, "paths", lambda *a: pytest.fail("a search for each source"))
     assert len(ranking.rank_trace(nodes, edges)) > 5
+
+
+def test_traces_are_read_in_pieces():
+    trace = [{"node_id": k, "words": ["a", f"w{k}"]} for k in range(60)]
+    kind = pa.struct([("node_id", pa.int64()), ("words", pa.list_(pa.string()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array([None if i % 7 == 0 else [] if i % 7 == 1 else trace for i in range(9000)], pa.list_(kind))], names=["trace_id", "nodes"])
+    parts = list(graph_algorithms.pieces(iter([batch])))
+    assert len(parts) > 2 and max(p.nbytes for p in parts) < 2 * graph_algorithms.PIECE
+    assert [k for p in parts for k in p.column("trace_id").to_pylist()] == list(range(9000))
+    assert [x for p in parts for x in graph_algorithms.of_traces(p, "nodes")] == [x or [] for x in batch.column("nodes").to_pylist()]
