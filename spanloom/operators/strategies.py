@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.lineage import checkpointed
 from spanloom.operators import graph_algorithms, selection, target_paths
 
 NAMES = ("bm25_retrieval", "tfidf_retrieval", "temporal_window", "random_budget", "weighted_k_shortest_paths", "dominator_chain", "pcst_heuristic", "submodular_budget", "agenttrace_suspicious_paths", "anomaly_neighborhood", "rootcause_subgraph")
@@ -54,9 +55,11 @@ def pruned(nodes: DataFrame, edges: DataFrame, name: str, most: int = 80, room:
 
 
 def all_pruned(nodes: DataFrame, edges: DataFrame, names: tuple[str, ...] = NAMES, most: int = 80, room: int = 14_000) -> DataFrame:
-    """What each of the strategies keeps (strategy, trace_id, node_id)."""
-    out = None
-    for name in known(names):
+    """What each of the strategies keeps (strategy, trace_id, node_id). Nodes and edges are written once; all strategies by trace share one pass."""
+    names, nodes, edges = known(names), checkpointed(nodes), checkpointed(edges)
+    shared = {n: (PER_TRACE[n], most) for n in names if n in PER_TRACE} | {n: ("k_shortest_10", min(70, most)) for n in names if n == "rootcause_subgraph"}
+    out = graph_algorithms.prune_all(nodes, edges, shared, room).select("trace_id", "node_id", "strategy") if shared else None
+    for name in (n for n in names if n not in shared):
         part = pruned(nodes, edges, name, most, room).withColumn("strategy", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
